@@ -3,13 +3,53 @@
 from __future__ import annotations
 
 from coordshift.llm.bpe import op8_bpe
+from coordshift.llm.contexttree import op3_contexttree
 from coordshift.llm.digest import op7_digest
+from coordshift.llm.kneserney import op6_kneserney
+from coordshift.llm.lines import op5_lines
+from coordshift.llm.mixing import op1_mixing
+from coordshift.llm.neighbours import op2_neighbours
+from coordshift.llm.passages import op10_passages
 from coordshift.llm.simhash import op4_simhash
+from coordshift.llm.suffix import op9_suffix
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_simhash, op7_digest, op8_bpe)}
+    own = (op1_mixing, op2_neighbours, op3_contexttree, op4_simhash, op5_lines, op6_kneserney, op7_digest, op8_bpe, op9_suffix, op10_passages, pipeline)
+    return {f.__name__: f for f in own}
+
+
+#: Names of run = 2 lines by pairs of trimmed lines, in place of hashes.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS k, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, k, l, list_transform(l, lambda x: trim(x, ' ')) AS s, len(l) AS n FROM d),
+w AS (SELECT k, unnest(range(1, n)) AS i, s FROM t),
+p AS (SELECT k, i, s[i] AS a, s[i + 1] AS b FROM w WHERE length(s[i]) + length(s[i + 1]) >= 40),
+r AS (SELECT k, i, row_number() OVER (PARTITION BY a, b ORDER BY k, i) AS c FROM p),
+g AS (SELECT DISTINCT k, j FROM (SELECT k, unnest([i, i + 1]) AS j FROM r WHERE c > 1)),
+f AS (SELECT k, list(j) AS js, count(*) AS removed FROM g GROUP BY k),
+u AS (SELECT k, count(*) AS runs FROM (SELECT k, j, lag(j) OVER (PARTITION BY k ORDER BY j) AS q FROM g) WHERE q IS NULL OR q < j - 1 GROUP BY k)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_lines, CAST(coalesce(f.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(u.runs, 0) AS BIGINT) AS n_runs,
+       sha256(CASE WHEN f.js IS NULL THEN array_to_string(t.l, chr(10)) ELSE array_to_string(list_transform(list_filter(list_zip(t.l, range(1, t.n + 1)), lambda x: NOT list_contains(f.js, x[2])), lambda x: x[1]), chr(10)) END) AS kept_sha256
+FROM t LEFT JOIN f USING (k) LEFT JOIN u USING (k)
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM q JOIN v ON q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lines": OP5_SQL}
