@@ -28,25 +28,31 @@ def slots(points: DataFrame, index: DataFrame, contig: str = "contig", pos: str
     cols = points.columns
     known = index.groupBy(F.col("contig").alias("__contig")).agg(F.max("s_len").alias("__len"), F.min(interval()).alias("__first"))
     p = points.join(known, points[contig] == F.col("__contig"), "left")
-    inside = F.col("__contig").isNotNull() & (F.col(pos) >= 0) & (F.col(pos) < F.col("__len"))
-    p = p.select(F.struct(*cols).alias("row"), F.col(contig).alias("contig"), F.col(pos).cast("long").alias("at"), F.col("__first").alias("first"), F.coalesce(inside, F.lit(False)).alias("inside"))
-    bad = p.where(~F.col("inside"))
-    good = p.where("inside")
-    kinds = index.select("contig", F.explode(F.array(F.struct(F.greatest("source_start", F.lit(1)).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("source_end").alias("at"), F.lit(2).alias("kind")))).alias("k"), interval().alias("own"))
-    keys = kinds.select("contig", "k.at", "k.kind", "own")
-    bucket = F.floor(F.col("at") / width).cast("long").alias("bucket")
-    keys = keys.withColumn("bucket", bucket)
-    good = good.withColumn("bucket", bucket)
-    tops = keys.groupBy("contig", "bucket").agg(F.max(F.when(F.col("kind") == 0, F.col("own"))).alias("s"), F.max(F.when(F.col("kind") == 2, F.col("own"))).alias("e"))
-    need = good.select("contig", "bucket").distinct().withColumn("wanted", F.lit(True))
-    before = Window.partitionBy("contig").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.join(need, ["contig", "bucket"], "full").withColumn("cs", F.max("s").over(before)).withColumn("ce", F.max("e").over(before)).where("wanted")
-    seed = carried.select("contig", "bucket", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("kind"), F.col("cs").alias("s"), F.col("ce").alias("e"))
-    rows = keys.select("contig", "bucket", "at", "kind", F.when(F.col("kind") == 0, F.col("own")).alias("s"), F.when(F.col("kind") == 2, F.col("own")).alias("e")).union(seed)
-    both = rows.join(need.drop("wanted"), ["contig", "bucket"], "left_semi").unionByName(good.withColumn("kind", F.lit(1)).drop("inside"), allowMissingColumns=True)
+    inside = F.coalesce(F.col("__contig").isNotNull() & (F.col(pos) >= 0) & (F.col(pos) < F.col("__len")), F.lit(False))
+    at = F.col(pos).cast("long")
+    # places outside go to buckets of their own, where nothing is found
+    bucket = F.when(inside, F.floor(at / width)).otherwise(-1 - F.pmod(F.xxhash64(at), F.lit(64))).cast("long")
+    p = p.select(F.struct(*cols).alias("row"), F.col(contig).alias("contig"), at.alias("at"), F.lit(1).alias("kind"), F.col("__first").alias("first"), inside.alias("inside"), bucket.alias("bucket"))
+    ends = F.array(F.struct(F.greatest("source_start", F.lit(1)).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("source_end").alias("at"), F.lit(2).alias("kind")))
+    keys = index.select("contig", "s_len", F.explode(ends).alias("k"), interval().alias("own")).select("contig", "s_len", "k.at", "k.kind", "own").withColumn("bucket", F.floor(F.col("at") / width).cast("long"))
+    start, end = (F.when(F.col("kind") == k, F.col("own")) for k in (0, 2))
+    tops = keys.groupBy("contig", "bucket").agg(F.max(start).alias("s"), F.max(end).alias("e"), F.max("s_len").alias("s_len"))
+    order = Window.partitionBy("contig").orderBy("bucket")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the last interval of a bucket opens all buckets up to the next one that has any
+    after = F.coalesce(F.lead("bucket").over(order), F.greatest(F.col("bucket"), F.floor(F.col("s_len") / width)))
+    seeds = tops.select("contig", F.max("s").over(upto).alias("s"), F.max("e").over(upto).alias("e"), F.col("bucket").alias("__b"), after.cast("long").alias("__z"))
+    seeds = seeds.where("__z > __b").withColumn("bucket", F.explode(F.expr("sequence(__b + 1, __z)"))).select("contig", "bucket", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("kind"), "s", "e")
+    rows = keys.select("contig", "bucket", "at", "kind", start.alias("s"), end.alias("e")).union(seeds)
+    both = rows.unionByName(p, allowMissingColumns=True)
     # starts come before a point at the same place, ends after it
     w = Window.partitionBy("contig", "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("s2", F.last("s", ignorenulls=True).over(w)).withColumn("e2", F.last("e", ignorenulls=True).over(w)).where("kind = 1")
-    got = found.select("row", F.col("s2").alias("s"), F.coalesce("e2", "first").alias("e"), F.coalesce("s2.idx", F.lit(-1)).cast("long").alias("sidx"), F.coalesce("e2.idx", F.lit(0)).cast("long").alias("eidx"))
-    none = bad.select("row", F.lit(None).cast(got.schema["s"].dataType).alias("s"), F.lit(None).cast(got.schema["e"].dataType).alias("e"), F.lit(-1).cast("long").alias("sidx"), F.lit(-1).cast("long").alias("eidx"))
-    return got.unionByName(none).select("row.*", "sidx", "eidx", "s", "e")
+    found = both.withColumn("s", F.last("s", ignorenulls=True).over(w)).withColumn("e", F.last("e", ignorenulls=True).over(w)).where("kind = 1")
+    none = F.lit(-1).cast("long")
+    return found.select(
+        "row.*",
+        F.when(F.col("inside"), F.coalesce("s.idx", none)).otherwise(none).alias("sidx"),
+        F.when(F.col("inside"), F.coalesce("e.idx", F.lit(0).cast("long"))).otherwise(none).alias("eidx"),
+        F.when(F.col("inside"), F.col("s")).alias("s"),
+        F.when(F.col("inside"), F.coalesce("e", "first")).alias("e"),
+    )

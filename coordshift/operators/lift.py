@@ -133,7 +133,7 @@ def lift_alignments(aln: DataFrame, index: DataFrame, allowed: int = 0, keep_map
             end_ok = end_ok & (F.col("__c2") >= 0) & (F.col("__c1") + F.col("__c2") <= allowed)
         e_ = F.col("s")
         place = F.when(F.col("__s")["strand"], lifted(F.col(pos), F.col("__s")) + F.greatest("__c1", F.lit(0))).otherwise(lifted(F.col(end), e_) + (F.greatest("__c2", F.lit(0)) if clips else F.lit(0)))
-        b = b.select(*rows.columns, F.coalesce(start_ok & end_ok, F.lit(False)).alias("__ok"), F.col("__s")["target"].alias(f"{name}_target"), F.col("__s")["strand"].alias(f"{name}_strand"), place.alias(f"{name}_pos"), F.col("__i1").alias("start_idx"), F.col("sidx").alias("end_idx"), F.col(contig).alias("contig"))
+        b = b.select(*rows.columns, F.coalesce(start_ok & end_ok, F.lit(False)).alias("__ok"), F.col("__s")["target"].alias(f"{name}_target"), F.col("__s")["strand"].alias(f"{name}_strand"), place.alias(f"{name}_pos"), F.col("__i1").alias("start_idx"), F.col("sidx").alias("end_idx"), F.col(contig).alias("contig")).persist()
         spans = b.where("__ok and start_idx < end_idx").select("id", "contig", "start_idx", "end_idx")
         legal = legal_spans(spans, index, allowed).select("id", "legal")
         ok = F.col("__ok") & F.when(F.col("start_idx") < F.col("end_idx"), F.coalesce("legal", F.lit(False))).otherwise(True) & (F.col(f"{name}_pos") >= 0)

@@ -28,7 +28,8 @@ def query(sql: str | None = None):
 
 
 def the_index(spark, sf) -> DataFrame:
-    return index.build_index(index.chain_to_intervals(frame(spark, sf, X.BLOCKS)))
+    """The index is built once and kept for the several joins of a query."""
+    return index.build_index(index.chain_to_intervals(frame(spark, sf, X.BLOCKS))).persist()
 
 
 # --- index and points -------------------------------------------------------
