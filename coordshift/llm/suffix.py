@@ -308,7 +308,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFr
         rows = sorted(zip(texts.column("doc").to_pylist(), texts.column("tie").to_pylist(), range(texts.num_rows), strict=True))
         ids = np.stack([doc, tie], axis=1)
         heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1))) if len(doc) else np.zeros(0, dtype=int)
-        own = {(int(doc[i]), int(tie[i])): (i, j) for i, j in zip(heads, np.append(heads[1:], len(doc)), strict=True)}
+        own = {(int(doc[i]), int(tie[i])): (i, j) for i, j in zip(heads, np.append(heads, len(doc))[1:], strict=True)}
         seen: set[bytes] = set()
         pieces: list[bytes] = [b""] * len(doc)
         gone = np.zeros(len(doc), dtype=bool)
@@ -406,7 +406,7 @@ def keep_first(docs: DataFrame, length: int = 100, texts_out: bool = True) -> Da
         doc, tie, start, end = (c[order] for c in (doc, tie, start, end))
         ids = np.stack([doc, tie], axis=1)
         heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1))) if len(doc) else np.zeros(0, dtype=int)
-        at = {(int(doc[i]), int(tie[i])): (i, j) for i, j in zip(heads, np.append(heads[1:], len(doc)), strict=True)}
+        at = {(int(doc[i]), int(tie[i])): (i, j) for i, j in zip(heads, np.append(heads, len(doc))[1:], strict=True)}
         rows = []
         for d, t, packed in zip(*(own.column(c).to_pylist() for c in ("doc", "tie", "packed")), strict=True):
             text = unpack(packed, ["u1"])[0].tobytes()
