@@ -80,7 +80,7 @@ def fixed_targets(cells: DataFrame, shares: dict[str, float]) -> DataFrame:
     return cells.sparkSession.createDataFrame(list(shares.items()), "value string, share double")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
     """``cells`` with a column weight; tokens * weight has the target marginals and the total of tokens."""
     cells = cells.withColumn("weight", F.lit(1.0))
     few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
