@@ -36,7 +36,7 @@ from coordshift.llm.suffix import _blocks, _joined, pack, unpack
 
 DEPTH = 5
 #: Bound on the grams of the tree that is sent to the executors (about 60 bytes each there).
-MOST_GRAMS = 3_000_000
+MOST_GRAMS = 2_000_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -139,7 +139,11 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - np.log(np.pi)
+    out = np.empty(len(n0))
+    for i in range(0, len(n0), 1 << 17):  # in pieces: the driver's memory is small
+        a, b = n0[i : i + (1 << 17)].astype(np.float64), n1[i : i + (1 << 17)].astype(np.float64)
+        out[i : i + (1 << 17)] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
+    return out
 
 
 def _parents(ids: np.ndarray, d: int) -> np.ndarray:
@@ -152,44 +156,46 @@ class Tree:
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
         self.depth = depth
-        n = n.astype(np.float64)
+        n = n.astype(np.int64)
         context, byte = grams >> np.uint64(8), grams & np.uint64(255)
         ids, zeros, ones = [], [], []
         for j in range(8):
             node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
             bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
             key, n1 = _runs(context << np.uint64(8) | node, np.where(bit, n, 0))
-            _, n0 = _runs(context << np.uint64(8) | node, np.where(bit, 0, n))
+            _, all_ = _runs(context << np.uint64(8) | node, n)
             ids.append(key)
-            zeros.append(n0)
+            zeros.append(all_ - n1)
             ones.append(n1)
-        ids, n0, n1 = map(np.concatenate, (ids, zeros, ones))
+        ids, n0, n1 = np.concatenate(ids), np.concatenate(zeros), np.concatenate(ones)
+        del zeros, ones
         order = np.argsort(ids)
         ids, n0, n1 = ids[order], n0[order], n1[order]
         weighted = _estimate(n0, n1)
-        levels = [(ids, n0, n1, np.zeros(len(ids)))]
+        # each level: node ids, own probability of a one, share of the own estimate
+        levels = [(ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.ones(len(ids), dtype=np.float32))]
         for d in range(depth - 1, -1, -1):
             parent = _parents(ids, d)
             order = np.argsort(parent)
             parent = parent[order]
             heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.zeros(0, dtype=int)
             below, n0, n1 = (np.add.reduceat(v[order], heads) if len(heads) else v for v in (weighted, n0, n1))
+            del order
             ids, own = parent[heads], _estimate(n0, n1)
             weighted = np.logaddexp(own, below) - np.log(2)
-            levels.append((ids, n0, n1, own - np.log(2) - weighted))
+            levels.append((ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.exp(own - np.log(2) - weighted).astype(np.float32)))
         levels.reverse()
         self.nodes, self.ones = [], []
         known = rest = None
-        for d, (ids, n0, n1, share) in enumerate(levels):
-            share = np.ones(len(ids)) if d == depth else np.exp(share)
-            ahead, open_ = np.zeros(len(ids)), np.ones(len(ids))
+        for d, (ids, one, share) in enumerate(levels):
+            ahead, open_ = np.zeros(len(ids), dtype=np.float32), np.ones(len(ids), dtype=np.float32)
             if d:
                 at = np.searchsorted(levels[d - 1][0], _parents(ids, d - 1))
                 ahead, open_ = known[at], rest[at]
-            known = ahead + open_ * share * (n1 + 0.5) / (n0 + n1 + 1)
+            known = ahead + open_ * share * one
             rest = open_ * (1 - share)
             self.nodes.append(ids)
-            self.ones.append((known + rest / 2).astype(np.float32))
+            self.ones.append(known + rest / 2)
         self.grams = grams
         self.score = np.zeros(len(grams), dtype=np.float32)
         total = np.zeros(len(grams))
@@ -246,7 +252,9 @@ def train(texts: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS) ->
     got = counts.toArrow()
     grams, n = got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
     order = np.argsort(grams)
-    return Tree(grams[order], n[order], depth)
+    grams, n = grams[order], n[order]
+    del got, order
+    return Tree(grams, n, depth)
 
 
 _KEPT: dict[str, Scorer] = {}
