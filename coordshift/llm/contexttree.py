@@ -213,7 +213,8 @@ class Scorer:
     def __init__(self, tree: Tree):
         self.depth = tree.depth
         self.grams = LookupTable(tree.grams, tree.score)
-        self.nodes = [LookupTable(ids, ones) for ids, ones in zip(tree.nodes, tree.ones, strict=True)]
+        # few places need these: they are searched in the sorted arrays, not copied to tables
+        self.nodes, self.ones = tree.nodes, tree.ones
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         out = self.grams.get(keys).astype(np.float64)
@@ -228,9 +229,11 @@ class Scorer:
                 p, todo = np.full(len(new), 0.5), np.arange(len(new))
                 for d in range(self.depth, -1, -1):
                     own = (context[todo] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[todo]
-                    got = self.nodes[d].get(own)
-                    hit = ~np.isnan(got)
-                    p[todo[hit]] = got[hit]
+                    if not len(todo) or not len(self.nodes[d]):
+                        continue
+                    at = np.minimum(np.searchsorted(self.nodes[d], own), len(self.nodes[d]) - 1)
+                    hit = self.nodes[d][at] == own
+                    p[todo[hit]] = self.ones[d][at[hit]]
                     todo = todo[~hit]
                 total += np.log10(np.where(bit, p, 1 - p))
             out[miss] = total[back]
