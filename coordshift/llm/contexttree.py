@@ -151,58 +151,58 @@ def _parents(ids: np.ndarray, d: int) -> np.ndarray:
     return (ids >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | ids & np.uint64(255)
 
 
+def _subtree(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Nodes of each depth and their probability of a one if nothing deeper is known, from the sorted nodes at ``depth``."""
+    ids, weighted = key, _estimate(n0, n1)
+    # each level: node ids, own probability of a one, share of the own estimate
+    levels = [(ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.ones(len(ids), dtype=np.float32))]
+    for d in range(depth - 1, -1, -1):
+        parent = _parents(ids, d)
+        order = np.argsort(parent)
+        parent = parent[order]
+        heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.zeros(0, dtype=int)
+        below, n0, n1 = (np.add.reduceat(v[order], heads) if len(heads) else v for v in (weighted, n0, n1))
+        ids, own = parent[heads], _estimate(n0, n1)
+        weighted = np.logaddexp(own, below) - np.log(2)
+        levels.append((ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.exp(own - np.log(2) - weighted).astype(np.float32)))
+    levels.reverse()
+    nodes, ones = [], []
+    known = rest = None
+    for d, (ids, one, share) in enumerate(levels):
+        ahead, open_ = np.zeros(len(ids), dtype=np.float32), np.ones(len(ids), dtype=np.float32)
+        if d:
+            at = np.searchsorted(levels[d - 1][0], _parents(ids, d - 1))
+            ahead, open_ = known[at], rest[at]
+        known = ahead + open_ * share * one
+        rest = open_ * (1 - share)
+        nodes.append(ids)
+        ones.append(known + rest / 2)
+    return nodes, ones
+
+
 class Tree:
-    """grams, log10 probability of each; nodes of each depth, their probability of a one if nothing deeper is known."""
+    """grams, log10 probability of each; for each of a byte's eight decisions, the nodes of each depth and their probability of a one.
+
+    No node belongs to two decisions, so each decision's trees are built apart:
+    only one decision's working arrays are held at a time.
+    """
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
-        self.depth = depth
+        self.depth, self.grams = depth, grams
         n = n.astype(np.int64)
         context, byte = grams >> np.uint64(8), grams & np.uint64(255)
-        ids, zeros, ones = [], [], []
-        for j in range(8):
-            node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
-            bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            key, n1 = _runs(context << np.uint64(8) | node, np.where(bit, n, 0))
-            _, all_ = _runs(context << np.uint64(8) | node, n)
-            ids.append(key)
-            zeros.append(all_ - n1)
-            ones.append(n1)
-        ids, n0, n1 = np.concatenate(ids), np.concatenate(zeros), np.concatenate(ones)
-        del zeros, ones
-        order = np.argsort(ids)
-        ids, n0, n1 = ids[order], n0[order], n1[order]
-        weighted = _estimate(n0, n1)
-        # each level: node ids, own probability of a one, share of the own estimate
-        levels = [(ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.ones(len(ids), dtype=np.float32))]
-        for d in range(depth - 1, -1, -1):
-            parent = _parents(ids, d)
-            order = np.argsort(parent)
-            parent = parent[order]
-            heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.zeros(0, dtype=int)
-            below, n0, n1 = (np.add.reduceat(v[order], heads) if len(heads) else v for v in (weighted, n0, n1))
-            del order
-            ids, own = parent[heads], _estimate(n0, n1)
-            weighted = np.logaddexp(own, below) - np.log(2)
-            levels.append((ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.exp(own - np.log(2) - weighted).astype(np.float32)))
-        levels.reverse()
         self.nodes, self.ones = [], []
-        known = rest = None
-        for d, (ids, one, share) in enumerate(levels):
-            ahead, open_ = np.zeros(len(ids), dtype=np.float32), np.ones(len(ids), dtype=np.float32)
-            if d:
-                at = np.searchsorted(levels[d - 1][0], _parents(ids, d - 1))
-                ahead, open_ = known[at], rest[at]
-            known = ahead + open_ * share * one
-            rest = open_ * (1 - share)
-            self.nodes.append(ids)
-            self.ones.append(known + rest / 2)
-        self.grams = grams
-        self.score = np.zeros(len(grams), dtype=np.float32)
         total = np.zeros(len(grams))
         for j in range(8):
-            node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
+            key = context << np.uint64(8) | np.uint64(1 << j) | byte >> np.uint64(8 - j)
             bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            p = self.ones[depth][np.searchsorted(self.nodes[depth], context << np.uint64(8) | node)].astype(np.float64) if len(grams) else total
+            # grams are sorted, so a decision's nodes come in runs
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=int)
+            n1, all_ = (np.add.reduceat(v, heads) if len(heads) else v for v in (np.where(bit, n, 0), n))
+            nodes, ones = _subtree(key[heads], all_ - n1, n1, depth)
+            self.nodes.append(nodes)
+            self.ones.append(ones)
+            p = np.repeat(ones[depth], np.diff(np.append(heads, len(key)))).astype(np.float64)
             total += np.log10(np.where(bit, p, 1 - p))
         self.score = total.astype(np.float32)
 
@@ -229,11 +229,12 @@ class Scorer:
                 p, todo = np.full(len(new), 0.5), np.arange(len(new))
                 for d in range(self.depth, -1, -1):
                     own = (context[todo] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[todo]
-                    if not len(todo) or not len(self.nodes[d]):
+                    nodes = self.nodes[j][d]
+                    if not len(todo) or not len(nodes):
                         continue
-                    at = np.minimum(np.searchsorted(self.nodes[d], own), len(self.nodes[d]) - 1)
-                    hit = self.nodes[d][at] == own
-                    p[todo[hit]] = self.ones[d][at[hit]]
+                    at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+                    hit = nodes[at] == own
+                    p[todo[hit]] = self.ones[j][d][at[hit]]
                     todo = todo[~hit]
                 total += np.log10(np.where(bit, p, 1 - p))
             out[miss] = total[back]
