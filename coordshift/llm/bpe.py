@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from coordshift.llm.common import LookupTable, arrow_schema, batch, document_text, slices, table
+from coordshift.llm.common import LookupTable, arrow_schema, batch, document_text, held, slices, table
 
 END = "</w>"
 #: The file's word pattern: contractions, letters, one digit, other symbols.
@@ -266,9 +266,6 @@ class Vocabulary:
         return out
 
 
-_KEPT: dict[int, tuple[Vocabulary, dict, dict]] = {}
-
-
 def chunks_of(text: str) -> list[str]:
     return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
 
@@ -289,12 +286,8 @@ def encode(docs: DataFrame, vocabulary_json: str, ids: bool = True) -> DataFrame
     schema = arrow_schema(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = (Vocabulary(shared.value), {}, {})
-        vocabulary, known, words = _KEPT[key]
-        for b in slices(batches):
+        vocabulary, known, words = held(f"bpe-{hash(shared.value)}", lambda: (Vocabulary(shared.value), {}, {}))
+        for b in slices(batches, most=1 << 20):
             texts = [chunks_of(t) for t in b.column("text").to_pylist()]
             if len(known) > REMEMBERED:
                 known.clear()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(mark: str, build: Callable[[], Any]) -> Any:
+    """The model named ``mark``, one a worker process: building it drops the one before and gives back what that left unused."""
+    if mark not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[mark] = build()
+    return _HELD[mark]
+
+
 class LookupTable:
     """Open addressing from 64-bit keys to float32 values, probed a vector at a time."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, document_text, mixed, shuffle_partitions, slices, table
+from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, document_text, held, mixed, shuffle_partitions, slices, table
 from coordshift.llm.suffix import _blocks, _joined, pack, unpack
 
 DEPTH = 5
@@ -261,9 +261,6 @@ def train(texts: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS) ->
     return Tree(grams, n, depth)
 
 
-_KEPT: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, held_out=None, depth: int = DEPTH, most_grams: int = MOST_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -328,10 +325,7 @@ def score(docs: DataFrame, held_out=None, depth: int = DEPTH, most_grams: int =
     out_names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def judge(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
-        if mark not in _KEPT:
-            _KEPT.clear()
-            _KEPT[mark] = Scorer(shared.value)
-        scorer = _KEPT[mark]
+        scorer = held(mark, lambda: Scorer(shared.value))
         word, c = _joined(found, ["<u8", "<i8"])
         counts = LookupTable(word, np.arange(len(word)) if len(word) < 1 << 24 else c)
         out = []

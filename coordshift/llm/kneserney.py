@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, mixed, slices, table
+from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, held, mixed, slices, table
 
 ORDER = 4
 SAMPLE = 3000
@@ -124,9 +124,6 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray,
     return keys, logs.astype(np.float32), last
 
 
-_KEPT: dict[str, LookupTable] = {}
-
-
 def log_likelihoods(texts: list[str], known: LookupTable, last: float, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(characters, sum of natural log probabilities) of each text."""
     x, real, sizes = _units(texts, order)
@@ -165,11 +162,9 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = SA
 
     def scored(own: list[str], with_schema: StructType, source: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if mark not in _KEPT:
-                _KEPT.clear()
-                _KEPT[mark] = LookupTable(*shared.value)
+            known = held(mark, lambda: LookupTable(*shared.value))
             for b in slices(batches, most=2 << 20):
-                n, log = log_likelihoods([t or "" for t in b.column("text").to_pylist()], _KEPT[mark], last, order)
+                n, log = log_likelihoods([t or "" for t in b.column("text").to_pylist()], known, last, order)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n, pa.int64()), pa.array(-log, pa.float64())], names=[*own, "n_units", "nats"])
 
         return source.mapInArrow(run, with_schema)
