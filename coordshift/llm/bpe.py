@@ -41,7 +41,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 #: Chunks that a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 _NEVER = 1 << 30
 _BASE = 0x9E3779B97F4A7C15 | 1
 
