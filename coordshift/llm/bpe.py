@@ -275,14 +275,18 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return " ".join(vocabulary.tokens[i] for i in ids)
 
 
-def encode(docs: DataFrame, vocabulary_json: str, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian 32-bit), decoded (string); or their SHA-256 where ``ids`` is false.
+def encode(docs: DataFrame, vocabulary_json: str, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian 32-bit), decoded (string).
+
+    ``ids_sha256`` takes the place of ids where ``ids`` is false, and
+    ``decoded_sha256`` that of decoded where ``decoded`` is: then no text goes
+    back to the JVM.
 
     ``vocabulary_json`` is the file's content (read on the driver and sent to
     the executors once; its size doesn't depend on the data).
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_json)
-    names = "doc_id long, n_tokens long, ids binary, decoded string" if ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    names = f"doc_id long, n_tokens long, {'ids binary' if ids else 'ids_sha256 string'}, {'decoded' if decoded else 'decoded_sha256'} string"
     schema = arrow_schema(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +306,7 @@ def encode(docs: DataFrame, vocabulary_json: str, ids: bool = True) -> DataFrame
                 text = b" ".join([g[1] for g in got])
                 counts.append(len(raw) // 4)
                 coded.append(raw if ids else hashlib.sha256(raw).hexdigest())
-                plain.append(text.decode() if ids else hashlib.sha256(text).hexdigest())
+                plain.append(text.decode() if decoded else hashlib.sha256(text).hexdigest())
             yield batch(schema, b.column("doc_id"), counts, coded, plain)
 
     return document_text(docs).mapInArrow(run, names)
@@ -316,4 +320,4 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), vocabulary_file(), ids=False)
+    return encode(table(spark, sf_dir, "documents"), vocabulary_file(), ids=False, decoded=False)

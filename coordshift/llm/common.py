@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -55,8 +56,17 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: executors run workers of many stages side by side."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Each batch in pieces of about ``most`` bytes of ``column``, one row at least."""
+    """Each batch in pieces of about ``most`` bytes of ``column``, one row at least; what a batch's work freed is given back."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -68,6 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield b.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,7 +97,7 @@ def held(mark: str, build: Callable[[], Any]) -> Any:
     if mark not in _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _HELD[mark] = build()
     return _HELD[mark]
 
