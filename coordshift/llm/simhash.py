@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coordshift.llm.common import arrow_schema, batch, checkpointed, components, document_text, mixed, shuffle_partitions, slices
+from coordshift.llm.suffix import pack, unpack
 
 SEED = 42
 #: Fingerprints under one part value that one task compares with each other.
 BLOCK = 20_000
 _BITS = 1 << 12
+#: Rows of the matrix of bit counts that travel together, and groups that each strip is first added in.
+_STRIP = 32
+_SALTS = 32
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -87,24 +91,41 @@ def _raw(column: pa.Array, words: int) -> np.ndarray:
 
 
 def bit_statistics(distinct: DataFrame, words: int) -> np.ndarray:
-    """Matrix of counts of fingerprints with bits i and j both set, over all rows; one row more holds the number of rows."""
+    """Matrix of counts of fingerprints with bits i and j both set, over all rows; one row more holds the number of rows.
+
+    The matrix is symmetric: tasks send its upper half in compressed strips of
+    rows, which are added in two steps.
+    """
     n = 64 * words
-    schema = arrow_schema("at int, n long")
+    names = "strip int, salt int, block binary, rows long"
+    schema = arrow_schema(names)
+    strips = [slice(i, i + _STRIP) for i in range(0, n, _STRIP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros((n, n)), 0
+        total, rows, salt = np.zeros((n, n)), 0, 0
         for b in batches:
             if b.num_rows:
-                x = _bits(_raw(b.column("fp"), words)).astype(np.float32)
+                raw = _raw(b.column("fp"), words)
+                x = _bits(raw).astype(np.float32)
                 total += x.T @ x
+                salt = salt or int(mixed(raw[:1, 0])[0] % np.uint64(_SALTS))
                 rows += len(x)
         if rows:
-            yield batch(schema, np.arange(n * n + 1, dtype=np.int32), np.append(total.ravel(), rows).astype(np.int64))
-
-    sums = distinct.select("fp").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(n * n + 1)
-    out[sums["at"].to_numpy(dtype=int)] = sums["n"]
-    return out
+            blocks = [pack(total[s, s.start :].astype("<i8").ravel()) for s in strips]
+            yield batch(schema, range(len(strips)), [salt] * len(strips), blocks, [rows] * len(strips))
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(unpack(b.as_py(), ["<i8"])[0] for b in t.column("block"))
+        return pa.Table.from_batches([batch(schema, [t.column("strip")[0].as_py()], [0], [pack(total)], [sum(t.column("rows").to_pylist())])])
+
+    sent = distinct.select("fp").mapInArrow(run, names)
+    sums = sent.groupBy("strip", "salt").applyInArrow(add, names).groupBy("strip").applyInArrow(add, names).collect()  # one row for each strip
+    out, rows = np.zeros((n, n)), 0
+    for r in sums:
+        s, rows = strips[r["strip"]], r["rows"]
+        out[s, s.start :] = unpack(bytes(r["block"]), ["<i8"])[0].reshape(_STRIP, -1)
+        out[s.start :, s] = out[s, s.start :].T
+    return np.append(out.ravel(), rows)
 
 
 def group_bits(together: np.ndarray, rows: float, sizes: list[int]) -> list[list[int]]:
