@@ -7,14 +7,15 @@ estimator, and its weighted probability is half its own plus half the product
 of its children's, so all depths from 0 to ``depth`` are mixed. The predictive
 probability of a decision follows from the posterior weights down its context.
 
-Training counts byte (depth + 1)-grams per task, sums them in a shuffle and
-builds the tree once. Its size is bounded by ``most_grams``: where there are
-more, the depth is lowered. Grams that were seen are scored by one lookup each,
-others decision by decision.
-
-Beside it stands a unigram word model (add one half). Words are counted in
-shards by their hash; each shard of documents gets back the counts it asked
-for, so no vocabulary is held in one place.
+Documents are dealt to shards. Each shard counts its words and its byte
+(depth + 1)-grams, and asks for them in the shards of the words' hashes and of
+the grams' last ``LOW`` context bytes. A shard of grams has whole trees below
+these contexts. It first sends up what they add to the levels above, which are
+bounded by the alphabet and built on the driver, then answers each asked gram
+with its log probability. So counts and trees cover all training texts at
+full depth and grow with them, and nothing that grows is held in one place.
+Beside it stands a unigram word model (add one half), counted and answered in
+the same way.
 
 Defined cases: null and empty texts score the end symbol only; rows with a
 null doc_id count as training rows; repeated rows are scored and counted each
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, document_text, held, mixed, shuffle_partitions, slices, table
+from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, document_text, give_back, mixed, shuffle_partitions, slices, table
 from coordshift.llm.suffix import _blocks, _joined, pack, unpack
 
 DEPTH = 5
-#: Bound on the grams of the tree that is sent to the executors (about 60 bytes each there).
-MOST_GRAMS = 2_000_000
+#: Bytes of context that grams are dealt by; the levels above are built on the driver (65,536 nodes at most).
+LOW = 2
+WORD, GRAM = 0, 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -92,6 +94,11 @@ def gram_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[valid], np.repeat(np.arange(len(texts)), sizes - depth)
 
 
+def _home(grams: np.ndarray) -> np.ndarray:
+    """Hash of the last ``LOW`` context bytes."""
+    return mixed((grams >> np.uint64(8)) & np.uint64((1 << 8 * LOW) - 1))
+
+
 def _runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if n is None:
         keys = np.sort(keys)
@@ -103,29 +110,6 @@ def _runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
     return keys[heads], total
 
 
-def count_grams(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram, n over all texts (column text), counted in each task before the shuffle."""
-    schema = arrow_schema("gram long, n long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = last = 0
-        for b in slices(batches, most=2 << 20):
-            held.append(_runs(gram_keys([lowered(t) for t in b.column("text").to_pylist()], depth)[0]))
-            size += len(held[-1][0])
-            if size > 2 * last + (1 << 21):
-                held = [_runs(*map(np.concatenate, zip(*held, strict=True)))]
-                size = last = len(held[0][0])
-                if size > 1 << 23:  # send on what is held: memory stays bounded
-                    yield batch(schema, held[0][0].astype(np.int64), held[0][1])
-                    held, size, last = [], 0, 0
-        if held:
-            keys, n = _runs(*map(np.concatenate, zip(*held, strict=True)))
-            yield batch(schema, keys.astype(np.int64), n)
-
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     shift = np.zeros_like(x)
     y = x.copy()
@@ -151,129 +135,160 @@ def _parents(ids: np.ndarray, d: int) -> np.ndarray:
     return (ids >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | ids & np.uint64(255)
 
 
-def _subtree(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Nodes of each depth and their probability of a one if nothing deeper is known, from the sorted nodes at ``depth``."""
-    ids, weighted = key, _estimate(n0, n1)
-    # each level: node ids, own probability of a one, share of the own estimate
-    levels = [(ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.ones(len(ids), dtype=np.float32))]
-    for d in range(depth - 1, -1, -1):
-        parent = _parents(ids, d)
-        order = np.argsort(parent)
-        parent = parent[order]
-        heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.zeros(0, dtype=int)
-        below, n0, n1 = (np.add.reduceat(v[order], heads) if len(heads) else v for v in (weighted, n0, n1))
-        ids, own = parent[heads], _estimate(n0, n1)
-        weighted = np.logaddexp(own, below) - np.log(2)
-        levels.append((ids, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.exp(own - np.log(2) - weighted).astype(np.float32)))
-    levels.reverse()
+def _upper(ids: np.ndarray, d: int, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes of depth d that those given have above them, with their counts and the sum of log weights below."""
+    parent = _parents(ids, d)
+    order = np.argsort(parent, kind="stable")
+    parent = parent[order]
+    heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.zeros(0, dtype=int)
+    n0, n1, below = (np.add.reduceat(v[order], heads) if len(heads) else v for v in (n0, n1, weighted))
+    return parent[heads], n0, n1, below
+
+
+def _level(ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[tuple, np.ndarray]:
+    """((ids, own probability of a one, share of the own estimate), log of the weighted probability); ``below`` is None for leaves."""
+    own = _estimate(n0, n1)
+    one = ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
+    if below is None:
+        return (ids, one, np.ones(len(ids), dtype=np.float32)), own
+    weighted = np.logaddexp(own, below) - np.log(2)
+    return (ids, one, np.exp(own - np.log(2) - weighted).astype(np.float32)), weighted
+
+
+def _descend(levels: list[tuple], d: int, above: tuple | None) -> tuple[list[np.ndarray], list[np.ndarray], tuple]:
+    """Nodes of the levels from depth d on and their probability of a one if nothing deeper is known; ``above`` and the last: (ids, known, rest) of a level."""
     nodes, ones = [], []
-    known = rest = None
-    for d, (ids, one, share) in enumerate(levels):
+    for ids, one, share in levels:
         ahead, open_ = np.zeros(len(ids), dtype=np.float32), np.ones(len(ids), dtype=np.float32)
-        if d:
-            at = np.searchsorted(levels[d - 1][0], _parents(ids, d - 1))
-            ahead, open_ = known[at], rest[at]
-        known = ahead + open_ * share * one
-        rest = open_ * (1 - share)
+        if above is not None:
+            at = np.searchsorted(above[0], _parents(ids, d - 1))
+            ahead, open_ = above[1][at], above[2][at]
+        above = (ids, ahead + open_ * share * one, open_ * (1 - share))
         nodes.append(ids)
-        ones.append(known + rest / 2)
-    return nodes, ones
+        ones.append(above[1] + above[2] / 2)
+        d += 1
+    return nodes, ones, above
+
+
+class Top:
+    """The levels above depth ``low``, from sums over the nodes of that depth; at most 256 ** d * 255 nodes at depth d."""
+
+    def __init__(self, ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray, low: int = LOW):
+        order = np.argsort(ids)
+        ids, n0, n1, below = (v[order] for v in (ids, n0, n1, below))
+        levels = []
+        for d in range(low - 1, -1, -1):
+            level, weighted = _level(ids, n0, n1, below)
+            levels.insert(0, level)
+            if d:
+                ids, n0, n1, below = _upper(ids, d - 1, n0, n1, weighted)
+        self.low = low
+        self.nodes, self.ones, self.last = _descend(levels, 0, None)
+
+
+def _decisions(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    """For each of a byte's eight decisions: the byte's bit, first gram, node and counts of zeros and ones of each node of full depth.
+
+    No node belongs to two decisions, so only one decision's arrays are held
+    at a time; grams are sorted, so its nodes come in runs.
+    """
+    context, byte, n = grams >> np.uint64(8), grams & np.uint64(255), n.astype(np.int64)
+    for j in range(8):
+        key = context << np.uint64(8) | np.uint64(1 << j) | byte >> np.uint64(8 - j)
+        bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=int)
+        n1, all_ = (np.add.reduceat(v, heads) if len(heads) else v for v in (np.where(bit, n, 0), n))
+        yield bit, heads, key[heads], all_ - n1, n1
+
+
+def climb(grams: np.ndarray, n: np.ndarray, depth: int, low: int = LOW) -> tuple[np.ndarray, ...]:
+    """What the trees of some contexts of ``low`` bytes add to the nodes of depth low - 1: ids, counts, sums of log weights."""
+    parts = []
+    for _, _, ids, n0, n1 in _decisions(grams, n):
+        _, weighted = _level(ids, n0, n1, None)
+        for d in range(depth - 1, low - 2, -1):
+            ids, n0, n1, below = _upper(ids, d, n0, n1, weighted)
+            if d >= low:
+                _, weighted = _level(ids, n0, n1, below)
+        parts.append((ids, n0, n1, below))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 class Tree:
-    """grams, log10 probability of each; for each of a byte's eight decisions, the nodes of each depth and their probability of a one.
+    """Sorted grams, log10 probability of each; for each of a byte's eight decisions, the nodes of each depth and their probability of a one.
 
-    No node belongs to two decisions, so each decision's trees are built apart:
-    only one decision's working arrays are held at a time.
+    With ``top``, the grams are those of some contexts of ``top.low`` bytes;
+    what is above these contexts comes from it.
     """
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, top: Top | None = None):
         self.depth, self.grams = depth, grams
-        n = n.astype(np.int64)
-        context, byte = grams >> np.uint64(8), grams & np.uint64(255)
+        low = top.low if top else 0
         self.nodes, self.ones = [], []
         total = np.zeros(len(grams))
-        for j in range(8):
-            key = context << np.uint64(8) | np.uint64(1 << j) | byte >> np.uint64(8 - j)
-            bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            # grams are sorted, so a decision's nodes come in runs
-            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=int)
-            n1, all_ = (np.add.reduceat(v, heads) if len(heads) else v for v in (np.where(bit, n, 0), n))
-            nodes, ones = _subtree(key[heads], all_ - n1, n1, depth)
-            self.nodes.append(nodes)
-            self.ones.append(ones)
-            p = np.repeat(ones[depth], np.diff(np.append(heads, len(key)))).astype(np.float64)
+        for bit, heads, ids, n0, n1 in _decisions(grams, n):
+            level, weighted = _level(ids, n0, n1, None)
+            levels = [level]
+            for d in range(depth - 1, low - 1, -1):
+                ids, n0, n1, below = _upper(ids, d, n0, n1, weighted)
+                level, weighted = _level(ids, n0, n1, below)
+                levels.insert(0, level)
+            nodes, ones, _ = _descend(levels, low, top.last if top else None)
+            self.nodes.append([*(top.nodes if top else []), *nodes])
+            self.ones.append([*(top.ones if top else []), *ones])
+            p = np.repeat(ones[-1], np.diff(np.append(heads, len(grams)))).astype(np.float64)
             total += np.log10(np.where(bit, p, 1 - p))
         self.score = total.astype(np.float32)
 
-
-class Scorer:
-    """Lookups of a tree's probabilities, built once in a worker."""
-
-    def __init__(self, tree: Tree):
-        self.depth = tree.depth
-        self.grams = LookupTable(tree.grams, tree.score)
-        # few places need these: they are searched in the sorted arrays, not copied to tables
-        self.nodes, self.ones = tree.nodes, tree.ones
-
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        out = self.grams.get(keys).astype(np.float64)
-        miss = np.flatnonzero(np.isnan(out))
-        if len(miss):
-            new, back = np.unique(keys[miss], return_inverse=True)
-            context, byte = new >> np.uint64(8), new & np.uint64(255)
-            total = np.zeros(len(new))
-            for j in range(8):
-                node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
-                bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-                p, todo = np.full(len(new), 0.5), np.arange(len(new))
-                for d in range(self.depth, -1, -1):
-                    own = (context[todo] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[todo]
-                    nodes = self.nodes[j][d]
-                    if not len(todo) or not len(nodes):
-                        continue
-                    at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
-                    hit = nodes[at] == own
-                    p[todo[hit]] = self.ones[j][d][at[hit]]
-                    todo = todo[~hit]
-                total += np.log10(np.where(bit, p, 1 - p))
-            out[miss] = total[back]
+        """Log10 probability of each gram; those not seen follow their context as far down as it is known."""
+        at = np.minimum(np.searchsorted(self.grams, keys), max(len(self.grams) - 1, 0))
+        seen = self.grams[at] == keys if len(self.grams) else np.zeros(len(keys), dtype=bool)
+        out = np.zeros(len(keys), dtype=np.float32)
+        out[seen] = self.score[at[seen]]
+        new = keys[~seen]
+        context, byte, total = new >> np.uint64(8), new & np.uint64(255), np.zeros(len(new))
+        for j in range(8):
+            node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
+            bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
+            p, todo = np.full(len(new), 0.5), np.arange(len(new))
+            for d in range(self.depth, -1, -1):
+                nodes = self.nodes[j][d]
+                if not len(todo) or not len(nodes):
+                    continue
+                own = (context[todo] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[todo]
+                at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+                hit = nodes[at] == own
+                p[todo[hit]] = self.ones[j][d][at[hit]]
+                todo = todo[~hit]
+            total += np.log10(np.where(bit, p, 1 - p))
+        out[~seen] = total
         return out
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        keys, owner = gram_keys(texts, self.depth)
-        return np.bincount(owner, weights=self.log10(keys), minlength=len(texts))
 
+def _planes(grams: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Bytes of the grams, place by place: sorted grams pack well so."""
+    return list(grams.astype("<u8").view("u1").reshape(-1, 8)[:, : depth + 1].T)
 
-def train(texts: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS) -> Tree:
-    """The tree of all ``texts``; its grams are counted on the executors and sent to the driver within the bound."""
-    counts = checkpointed(count_grams(texts, depth))
-    while depth > 2 and counts.count() > most_grams:
-        depth -= 1
-        # a byte and the context before it, one byte shorter
-        cut = F.col("gram").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("gram")
-        counts = checkpointed(counts.select(cut, "n").groupBy("gram").agg(F.sum("n").alias("n")))
-    got = counts.toArrow()
-    grams, n = got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(grams)
-    grams, n = grams[order], n[order]
-    del got, order
-    return Tree(grams, n, depth)
+
+def _grams(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(planes[0]), dtype=np.uint64)
+    for k, p in enumerate(planes):
+        out |= p.astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
-def score(docs: DataFrame, held_out=None, depth: int = DEPTH, most_grams: int = MOST_GRAMS) -> DataFrame:
+def score(docs: DataFrame, held_out=None, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    ``held_out``: condition over doc_id; such rows are scored but not learnt from.
+    ``held_out``: condition over doc_id; such rows are scored but not learnt
+    from. ``depth``: bytes of context, 3 to 6.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     name = F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))
     held_out = F.crc32(name) % 5 == 1 if held_out is None else held_out
     rows = document_text(docs, held_out.alias("held_out"))
-    tree = train(rows.where(~F.col("held_out")), depth, most_grams)
-    shared = spark.sparkContext.broadcast(tree)
-    mark = f"{id(tree)}-{len(tree.grams)}-{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else 0}"
     names = "shard int, doc_id long, held_out boolean, packed binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,57 +305,93 @@ def score(docs: DataFrame, held_out=None, depth: int = DEPTH, most_grams: int =
                 yield t.slice(start, i + 1 - start), [unpack(x, ["u1"])[0].tobytes().lower() for x in packed[start : i + 1]]
                 start, size = i + 1, 0
 
-    asked = ["<u8", "<i4", "<i4"]
-    count_names = "shard int, block binary, n long, distinct_words long"
+    kinds = {WORD: ["<u8", "<i4", "<i4"], GRAM: [*["u1"] * (depth + 1), "<i4", "<i4"]}
+    block_names = "kind int, shard int, block binary"
+    block_schema = arrow_schema(block_names)
+
+    def of_kind(kind: int, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns], schema=block_schema)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
-        words, counts = [], []
+        found: dict[int, list] = {WORD: [], GRAM: []}
+        sizes = {WORD: 0, GRAM: 0}
         for part, texts in unpacked(t):
             learnt = ~part.column("held_out").to_numpy().astype(bool)
-            h, owner = tokens(texts)
-            h, c = _runs(h, learnt[owner].astype(np.int64))
-            words.append(h)
-            counts.append(c)
-        h, c = _runs(np.concatenate(words), np.concatenate(counts))
-        return pa.Table.from_batches([_blocks(h, n, [h, np.full(len(h), key[0].as_py(), dtype="<i4"), c.astype("<i4")])])
-
-    def answer(key: tuple, t: pa.Table) -> pa.Table:
-        h, shard, c = _joined(t, asked)
-        words, back = np.unique(h, return_inverse=True)
-        total = np.bincount(back, weights=c, minlength=len(words)).astype(np.int64)
+            for kind, (h, owner) in ((WORD, tokens(texts)), (GRAM, gram_keys(texts, depth))):
+                found[kind].append(_runs(h, learnt[owner].astype(np.int64)))
+                if sum(len(x[0]) for x in found[kind]) > 2 * sizes[kind] + (1 << 20):
+                    found[kind] = [_runs(*map(np.concatenate, zip(*found[kind], strict=True)))]
+                    sizes[kind] = len(found[kind][0][0])
+        asker = key[0].as_py()
         out = []
-        order = np.argsort(shard, kind="stable")
-        ends = np.cumsum(np.bincount(shard, minlength=n)) if len(shard) else np.zeros(n, dtype=int)
-        for s in range(n):
-            at = order[(ends[s - 1] if s else 0) : ends[s]]
-            if len(at):
-                out.append((s, pack(h[at], total[back[at]].astype("<i8")), 0, 0))
-        out.append((-1, b"", int(total.sum()), int((total > 0).sum())))
-        return pa.Table.from_batches([batch(arrow_schema(count_names), *([r[i] for r in out] for i in range(4)))])
+        for kind, parts in found.items():
+            h, c = _runs(*map(np.concatenate, zip(*parts, strict=True)))
+            own = [h] if kind == WORD else _planes(h, depth)
+            out.append(of_kind(kind, _blocks(h if kind == WORD else _home(h), n, [*own, np.full(len(h), asker, dtype="<i4"), c.astype("<i4")])))
+        return pa.Table.from_batches(out)
+
+    def asked(kind: int, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words or grams, asking shards and counts."""
+        columns = _joined(t, kinds[kind])
+        return columns[0] if kind == WORD else _grams(columns[:-2]), columns[-2], columns[-1].astype(np.int64)
+
+    sum_names = "node long, n0 long, n1 long, below double"
+
+    def sum_up(key: tuple, t: pa.Table) -> pa.Table:
+        """Of words, total and number of those known; of grams, what their trees add to the top."""
+        h, _, c = asked(key[0].as_py(), t)
+        h, c = _runs(h, c)
+        if key[0].as_py() == WORD:
+            return pa.Table.from_batches([batch(arrow_schema(sum_names), [-1], [int(c.sum())], [int((c > 0).sum())], [0.0])])
+        ids, n0, n1, below = climb(h[c > 0], c[c > 0], depth)
+        return pa.Table.from_batches([batch(arrow_schema(sum_names), ids.astype(np.int64), n0, n1, below)])
 
     texts = rows.mapInArrow(send, names)
-    answers = checkpointed(texts.groupBy("shard").applyInArrow(ask, "shard int, block binary").groupBy("shard").applyInArrow(answer, count_names))
-    all_, distinct = answers.where("shard < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
+    asks = checkpointed(texts.groupBy("shard").applyInArrow(ask, block_names))
+    # at most 255 nodes for each byte of context, and one row for all words
+    sums = asks.groupBy("kind", "shard").applyInArrow(sum_up, sum_names).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toArrow()
+    node, n0, n1, below = (sums.column(c).to_numpy() for c in ("node", "n0", "n1", "below"))
+    words = node < 0
+    all_, distinct = int(n0[words].sum()), int(n1[words].sum())
     floor = float(np.log10(all_ + 0.5 * (distinct + 1)))
+    shared = spark.sparkContext.broadcast(Top(node[~words].astype(np.uint64), n0[~words], n1[~words], below[~words]))
+
+    def answer(key: tuple, t: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        h, asker, c = asked(kind, t)
+        own, back = np.unique(h, return_inverse=True)
+        total = np.bincount(back, weights=c, minlength=len(own)).astype(np.int64)
+        value = total.astype("<i8") if kind == WORD else Tree(own[total > 0], total[total > 0], depth, shared.value).log10(own)
+        columns = [h] if kind == WORD else _planes(h, depth)
+        return pa.Table.from_batches([of_kind(kind, _blocks(asker.astype(np.uint64), n, [*columns, value[back]]))])
+
     out_names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def judge(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
-        scorer = held(mark, lambda: Scorer(shared.value))
-        word, c = _joined(found, ["<u8", "<i8"])
-        counts = LookupTable(word, np.arange(len(word)) if len(word) < 1 << 24 else c)
+        kind = found.column("kind").to_numpy()
+        word, c = _joined(found.filter(pa.array(kind == WORD)), ["<u8", "<i8"])
+        *planes, log = _joined(found.filter(pa.array(kind == GRAM)), [*["u1"] * (depth + 1), "<f4"])
+        model = LookupTable(_grams(planes), log)
+        del planes, log
+        order = np.argsort(word)
+        word, c = word[order], c[order]
         out = []
         for part, texts_ in unpacked(own):
             h, owner = tokens(texts_)
-            n_ = c[counts.get(h).astype(np.int64)] if len(word) < 1 << 24 else counts.get(h).astype(np.int64)
+            n_ = c[np.searchsorted(word, h)]
             m = len(texts_)
             size = np.bincount(owner, minlength=m)
             base = np.bincount(owner, weights=np.log10(n_ + 0.5), minlength=m) - size * floor
-            log = scorer.texts(texts_)
-            per = -log * np.log2(10) / (np.fromiter(map(len, texts_), np.int64, m) + 1)
-            out.append(batch(arrow_schema(out_names), part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), size, np.bincount(owner, weights=n_ > 0, minlength=m).astype(np.int64), np.full(m, all_), base, log, per))
+            keys, place = gram_keys(texts_, depth)
+            log10 = np.bincount(place, weights=model.get(keys), minlength=m)
+            per = -log10 * np.log2(10) / (np.fromiter(map(len, texts_), np.int64, m) + 1)
+            out.append(batch(arrow_schema(out_names), part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), size, np.bincount(owner, weights=n_ > 0, minlength=m).astype(np.int64), np.full(m, all_), base, log10, per))
+        del model
+        give_back()
         return pa.Table.from_batches(out, schema=arrow_schema(out_names))
 
-    return texts.groupBy("shard").cogroup(answers.where("shard >= 0").select("shard", "block").groupBy("shard")).applyInArrow(judge, out_names)
+    answers = asks.groupBy("kind", "shard").applyInArrow(answer, block_names)
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(judge, out_names)
 
 
 def op3_contexttree(spark, sf_dir: str) -> DataFrame:
