@@ -351,18 +351,8 @@ def links(distinct: DataFrame, limit: int, words: int = 1) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_limit(similarity: float, words: int) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity (cosine 2J / (1 + J))."""
-    return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 8, limit: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the group); one row per row of ``docs``.
-
-    Without ``limit``, fingerprints link when they differ in no more bits than
-    texts of that Jaccard similarity do on average.
-    """
-    limit = similar_limit(similarity, words) if limit is None else limit
+def near_duplicates(docs: DataFrame, shingle: int, words: int, limit: int) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id of the group); one row per row of ``docs``."""
     prints = checkpointed(fingerprint(docs, shingle, words))
     distinct = checkpointed(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
     groups = components(links(distinct, limit, words))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from coordshift.llm import bpe, contexttree, digest, kneserney, lines, mixing, neighbours, passages, simhash, suffix
+from coordshift.llm import bpe, contexttree, digest, kneserney, lines, minhash, mixing, neighbours, passages, simhash, suffix
 from coordshift.llm.common import components
 
 WORDS = "the of and rain stone river cloud mill over under seven green house walk bright".split()
@@ -83,6 +83,45 @@ def test_simhash_finds_all_links(spark):
                 assert comp[i] == comp[j]
 
 
+def test_near_dedup_finds_pairs_at_the_threshold(spark):
+    import corpus_pipeline
+
+    rng, rows, want = np.random.default_rng(5), [], set()
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 30, 304)]
+        changed = list(words)
+        # each change, far from others, breaks five of 300 shingles: 1 - 2 * 5c / (300 + 5c), 0.82 for 6 and 0.79 for 7
+        c = 6 + i % 2
+        for j in range(c):
+            changed[10 + 40 * j] = "new"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        want |= {2 * i} if c == 6 else {2 * i, 2 * i + 1}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
+
+
+@pytest.mark.parametrize("volume", [1_000_000, 500])
+def test_minhash_groups_equal_brute_force(spark, docs, empty, monkeypatch, volume):
+    monkeypatch.setattr(minhash, "VOLUME", volume)
+    rng, rows = np.random.default_rng(6), []
+    for i in range(6):
+        words = prose(100 + i, 150).split()
+        for j in range(5):
+            rows.append((10 * i + j, " ".join(words)))
+            words[int(rng.integers(0, len(words)))] = f"x{j}"
+            words[int(rng.integers(0, len(words)))] = f"y{j}"
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    up = {i: i for i in sets}
+    for _ in rows:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if len(a & b) >= 0.8 * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == up
+    assert minhash.near_duplicates(docs).count() == 13 and minhash.near_duplicates(empty).count() == 0
+
+
 def brute_spans(rows, length):
     seen, out = set(), {}
     for i, t in rows:
