@@ -50,7 +50,7 @@ def topic(text: Column) -> Column:
         F.when(F.trim(t) == "", "empty")
         .when(F.contains(t, F.lit(" | ")), "table")
         .when(F.contains(t, F.lit("http")) | F.contains(t, F.lit("@")), "contact")
-        .when(F.contains(F.lower(F.substring(t, 1, 400)), F.lit("license")), "legal")
+        .when(F.contains(F.lower(t), F.lit("license")), "legal")
         .when(F.length(t) > 4000, "long prose")
         .otherwise("prose")
     )

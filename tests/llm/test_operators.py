@@ -219,6 +219,12 @@ def test_mixing(spark, docs, empty):
     assert mixing.sample(empty).count() == 0
 
 
+def test_mixing_topic_reads_the_whole_text(spark):
+    rows = [(1, prose(1, 100) + " under the License"), (2, prose(1, 100)), (3, "LICENSE " + prose(1, 9)), (4, prose(1, 9) + " | license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["t"] for r in df.select("doc_id", mixing.topic(df["text"]).alias("t")).collect()} == {1: "legal", 2: "prose", 3: "legal", 4: "table"}
+
+
 def test_lines(spark, docs, empty):
     shared = "a line that many documents have\nand another such line here"
     df = spark.createDataFrame([(2, "start\n" + shared), (1, shared + "\nown"), (3, None), (4, shared)], "doc_id long, text string")
