@@ -100,6 +100,14 @@ def test_near_dedup_finds_pairs_at_the_threshold(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
 
 
+def test_near_dedup_keeps_different_texts_of_one_doc_id(docs):
+    import corpus_pipeline
+
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect()]
+    assert sorted(t for i, t in kept if i == 7) == sorted(r["text"] for r in docs.where("doc_id = 7").collect())
+    assert sorted(i for i, _ in kept if i is not None) == [0, 1, 4, 6, 7, 7, 8, 9] and (None, prose(3, 80)) in kept
+
+
 @pytest.mark.parametrize("volume", [1_000_000, 500])
 def test_minhash_groups_equal_brute_force(spark, docs, empty, monkeypatch, volume):
     monkeypatch.setattr(minhash, "VOLUME", volume)
