@@ -262,6 +262,29 @@ def test_passages(spark, docs, empty):
     assert passages.find_passages(docs).count() > 0 and passages.find_passages(empty).count() == 0
 
 
+def varied(rng, n: int) -> list[str]:
+    return [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+
+
+def test_passages_inside_rejected_chains(spark):
+    rng, rows = np.random.default_rng(8), []
+    for i in range(20):
+        a, b, c = (varied(rng, k) for k in (20, 20, 52))
+        rows += [(100 + i, " ".join(a + varied(rng, 17) + b + varied(rng, 17) + c)), (200 + i, " ".join(a + varied(rng, 17) + b + varied(rng, 17) + c))]
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got if r["end"] >= 126 and r["n_words"] >= 52 and r["similarity"] >= 0.8} >= {(200 + i, 100 + i) for i in range(20)}
+
+
+def test_passages_of_a_second_source(spark):
+    rng = np.random.default_rng(9)
+    runs = [varied(rng, 20) for _ in range(20)]
+    # the first source has runs of 20 equal words and eight that differ, at most 48 words at 0.8; the second an exact passage
+    one, own = ([w for r in runs for w in r + varied(rng, 8)] for _ in range(2))
+    rows = [(1, one), (2, varied(rng, 30) + own[200:270] + varied(rng, 30)), (3, own)]
+    got = passages.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in got] == [(3, 2, 200, 270)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
