@@ -285,6 +285,15 @@ def test_passages_of_a_second_source(spark):
     assert [(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in got] == [(3, 2, 200, 270)]
 
 
+def test_passages_at_several_places(spark):
+    rng = np.random.default_rng(10)
+    p, q = varied(rng, 60), varied(rng, 60)
+    rows = [(1, p + varied(rng, 30)), (2, varied(rng, 40) + p + varied(rng, 40) + p), (3, q + varied(rng, 70) + q), (4, varied(rng, 200))]
+    got = passages.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in got} == {(2, 40, 100), (2, 140, 200), (3, 130, 190)}
+    assert all((r["source_id"], r["source_start"]) in {(1, 0), (2, 40), (3, 0)} and r["similarity"] == 1 for r in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
