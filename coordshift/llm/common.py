@@ -7,6 +7,7 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,47 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+#: Bytes of input for one shard: what one grouped task holds grows with this, not with the table.
+SHARD_BYTES = 256 << 20
+
+
+def shards_of(docs: DataFrame, column: str = "text") -> int:
+    """Shards for the texts of ``docs``: no fewer than the shuffle partitions, and as many as their bytes ask for.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (local tests) a temporary one is made.
+    The optimizer's size is an upper bound here; texts are measured only where
+    it is large or unknown.
     """
-    context = df.sparkSession.sparkContext
+    least = shuffle_partitions(docs.sparkSession)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > least * SHARD_BYTES:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(docs[column].cast("string"))), F.lit(0))).first()[0]
+    return max(least, -(-size // SHARD_BYTES))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or one made here where none is set and all runs in one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table to the shared checkpoint folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def document_text(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id (long) and text (null: empty), with no other columns but ``more``."""
     return docs.select(

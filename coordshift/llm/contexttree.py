@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, document_text, give_back, mixed, shuffle_partitions, slices, table
+from coordshift.llm.common import LookupTable, arrow_schema, batch, checkpointed, document_text, give_back, mixed, shards_of, slices, table
 from coordshift.llm.suffix import _blocks, _joined, pack, unpack
 
 DEPTH = 5
@@ -285,7 +285,7 @@ def score(docs: DataFrame, held_out=None, depth: int = DEPTH) -> DataFrame:
     from. ``depth``: bytes of context, 3 to 6.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = shards_of(docs)
     name = F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))
     held_out = F.crc32(name) % 5 == 1 if held_out is None else held_out
     rows = document_text(docs, held_out.alias("held_out"))

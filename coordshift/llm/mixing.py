@@ -21,12 +21,11 @@ along by ``sample`` and ignored elsewhere; an empty table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordshift.llm.common import checkpointed, table
+from coordshift.llm.common import checkpointed, table, written
 
 MARGINS = ("source", "lang", "topic")
 BROADCAST_CELLS = 200_000
@@ -81,14 +80,6 @@ def fixed_targets(cells: DataFrame, shares: dict[str, float]) -> DataFrame:
     return cells.sparkSession.createDataFrame(list(shares.items()), "value string, share double")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared checkpoint folder and read again."""
-    checkpointed(df.limit(0))  # sets the folder where none is set
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cells-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
     """``cells`` with a column weight; tokens * weight has the target marginals and the total of tokens."""
     cells = cells.withColumn("weight", F.lit(1.0))
@@ -117,7 +108,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tole
         cells = cells.withColumn("miss", reduce(lambda a, b: F.greatest(a, b), misses, F.lit(0.0))).drop(*(f"miss_{m}" for m in goals))
         # A checkpoint keeps the size that the optimizer estimated, the product of the joined sizes: its digits would
         # double with every join. A limit above the checked number of cells, or a written table, ends that.
-        cells = checkpointed(cells.limit(BROADCAST_CELLS)) if few else written(cells)
+        cells = checkpointed(cells.limit(BROADCAST_CELLS)) if few else written(cells, "cells")
         if (cells.agg(F.max("miss")).first()[0] or 0.0) < tolerance:
             break
     return cells.drop("miss")

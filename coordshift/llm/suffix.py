@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordshift.llm.common import arrow_schema, batch, document_text, mixed, shuffle_partitions, slices, table
+from coordshift.llm.common import arrow_schema, batch, document_text, mixed, shards_of, slices, table
 
 GRAM = 32
 #: Bytes of distinct regions in one suffix array.
@@ -274,7 +274,7 @@ def _joined(t: pa.Table, kinds: list[str]) -> list[np.ndarray]:
 
 def removed_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """(texts: shard, doc, tie, packed text; marks: shard, block of doc, tie, start, end)."""
-    n = shuffle_partitions(docs.sparkSession)
+    n = shards_of(docs)
     source = document_text(docs).select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     text_names = "shard int, doc long, tie long, packed binary"
 
