@@ -40,6 +40,8 @@ ORDER = 4
 FOLDS = 4
 PRIOR = 60
 QUANTILE = 0.995
+#: Ids of trusted rows that are sent to every executor at most (8 bytes each); more are joined by a shuffle.
+SENT = 4_000_000
 #: Normal deviate of the quantile.
 _DEVIATE = 2.576
 BIN = 1e-4
@@ -87,7 +89,7 @@ def count_highest(texts: DataFrame, order: int) -> DataFrame:
     schema = arrow_schema(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 20):
             x, real, _ = _units(b.column("text").to_pylist(), order)
             grams = gram_keys(x, order)
             top, first, n = np.unique(grams[order][real], return_index=True, return_counts=True)
@@ -156,7 +158,7 @@ def log_likelihoods(texts: list[str], known: LookupTable, last: float, order: in
     return sizes, np.bincount(owner, weights=out, minlength=len(texts))
 
 
-def _batches_of(packed: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+def _batches_of(packed: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int, list[str]]]:
     """Ranges of packed texts of about ``most`` bytes, unpacked."""
     start = size = 0
     for i, p in enumerate(packed):
@@ -183,10 +185,12 @@ def perplexities(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataF
         for _, _, part in _batches_of(t.column("packed").to_pylist()):
             grams = gram_keys(_units(part, order)[0], order)
             found += [np.unique(g) for g in grams[1:]] + [np.unique(~g) for g in grams[:order]]
-            if sum(map(len, found)) > 2 * held + (1 << 20):
+            if sum(map(len, found)) > 2 * held + (1 << 19):
                 found = [np.unique(np.concatenate(found))]
                 held = len(found[0])
         keys = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        del found
+        give_back()
         return pa.Table.from_batches([_blocks(mixed(keys), n, [keys, np.full(len(keys), key[0].as_py(), dtype="<i4")])])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +246,10 @@ def limits(levels: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, tie, lang, n_units (characters), log_perplexity (nats a character), limit and rejected; one row per row of ``docs``."""
-    ids = trusted_ids(labels)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("text is not null").join(ids.where("not held_out"), "doc_id", "left_semi").select("text")
+    ids = checkpointed(trusted_ids(labels))
+    trained = ids.where("not held_out").select("doc_id")
+    trained = F.broadcast(trained) if trained.limit(SENT + 1).count() <= SENT else trained
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("text is not null").join(trained, "doc_id", "left_semi").select("text")
     rows = checkpointed(perplexities(docs, model(texts, order), order))
     held = rows.join(ids.where("held_out"), "doc_id", "left_semi")
     mean = held.agg(F.sum("nats") / F.sum("n_units")).first()[0]
