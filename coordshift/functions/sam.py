@@ -67,3 +67,33 @@ def ids_of(spec: str) -> list[str]:
         low, _, high = part.partition("-")
         out += [str(i) for i in range(int(low), int(high or low) + 1)]
     return out
+
+
+def reversed_array(value: str | Column) -> Column:
+    """The value of a B tag, "c,1,2", with its elements from the last to the first."""
+    value = F.col(value) if isinstance(value, str) else value
+    parts = F.split(value, ",")
+    return F.array_join(F.concat(F.slice(parts, 1, 1), F.reverse(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))), ",")
+
+
+def masked_complement(seq: str | Column) -> Column:
+    """Reverse complement of upper-cased A, C, G and T; all other letters become N."""
+    seq = F.col(seq) if isinstance(seq, str) else seq
+    return F.translate(F.reverse(F.regexp_replace(F.upper(seq), "[^ACGT]", "N")), "ACGT", "TGCA")
+
+
+def without_tags(tags: str | Column, names: list[str]) -> Column:
+    return F.map_filter(tags, lambda k, _: ~k.isin(*names))
+
+
+def mate_reference_length(tags: str, seq: str) -> Column:
+    """Reference length of the mate's CIGAR (tag MC), or the read's own length."""
+    from coordshift.functions.cigar import reference_length
+
+    mc = F.col(tags)["MC"]["value"]
+    own = F.when(F.col(seq) == "*", 0).otherwise(F.length(seq)).cast("long")
+    return F.coalesce(F.when(mc.isNotNull(), reference_length(mc)), own)
+
+
+def command_line(arguments: list[str]) -> str:
+    return " ".join(arguments)

@@ -14,14 +14,21 @@ def extract(bed: DataFrame, fasta: DataFrame) -> DataFrame:
 
 
 def mask(fasta: DataFrame, bed: DataFrame) -> DataFrame:
-    """``fasta`` (contig, seq and others) with N in the regions of ``bed``."""
-    regions = merge(bed).groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__regions"))
+    """``fasta`` (contig, seq and others) with N in the regions of ``bed``.
 
-    def cover(seq: Column, r: Column) -> Column:
-        n = F.greatest(F.lit(0), F.least(r["end"], F.length(seq)) - r["start"]).cast("int")
-        return F.concat(F.substring(seq, F.lit(1), r["start"].cast("int")), F.repeat(F.lit("N"), n), F.substring(seq, (r["start"] + n + 1).cast("int"), F.length(seq)))
+    The sorted regions cut a sequence into pieces that are joined once.
+    """
+    regions = merge(bed.where("end > start and end > 0")).groupBy("contig").agg(F.array_sort(F.collect_list(F.struct(F.greatest("start", F.lit(0)).alias("start"), "end"))).alias("__regions"))
+    size = F.length("seq")
+    starts = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.col("__regions"))
+    nexts = F.concat(F.transform("__regions", lambda r: r["start"]), F.array(size.cast("long")))
 
-    masked = F.aggregate(F.col("__regions"), F.col("seq"), cover)
+    def piece(region: Column, stop: Column) -> Column:
+        from_, to = F.least(region["end"], size), F.least(stop, size)
+        covered = F.greatest(F.least(region["end"], size) - F.least(region["start"], size), F.lit(0))
+        return F.concat(F.repeat(F.lit("N"), covered.cast("int")), F.substring(F.col("seq"), (from_ + 1).cast("int"), F.greatest(to - from_, F.lit(0)).cast("int")))
+
+    masked = F.array_join(F.zip_with(starts, nexts, piece), "")
     return fasta.join(regions, "contig", "left").withColumn("seq", F.when(F.col("__regions").isNotNull(), masked).otherwise(F.col("seq"))).drop("__regions")
 
 

@@ -1,38 +1,167 @@
 """The as-of join of points and the interval table.
 
-Points and interval ends are sorted together inside (contig, place div width)
-buckets, so a contig isn't one task; each bucket starts with the last interval
-of the buckets before it, found on one row per bucket.
+An index of up to ``SEARCHED`` intervals is sent to the executors as sorted
+arrays; points are then looked up by binary search in Arrow batches, in place:
+only their contig and place go to Python, and nothing is shuffled. A larger
+index is met by sorting: each distinct place and the ends of intervals go to
+(contig, place div width) buckets, so neither a contig nor a deeply covered
+place is one task, and each bucket starts with the last interval of the buckets
+before it. The places found are then joined back to the points.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 14
-FIELDS = ("idx", "source_start", "source_end", "target", "off", "strand", "next_source_start", "next_source_end", "next_strand", "next_target", "next_off", "target_run")
+#: Intervals that are sent to every executor at most, of some 150 bytes each.
+SEARCHED = 1_000_000
+FIELDS = ("idx", "source_start", "source_end", "target", "off", "strand", "next_source_start", "next_source_end", "next_strand", "next_target", "next_off", "target_run", "bad", "next_bad")
+_KINDS = {"target": "string", "next_target": "string", "strand": "boolean", "next_strand": "boolean"}
+_STRUCT = "struct<" + ",".join(f"{c}:{_KINDS.get(c, 'bigint')}" for c in FIELDS) + ">"
+
+
+def interval() -> Column:
+    return F.struct(*(F.col(c).cast(_KINDS.get(c, "bigint")).alias(c) for c in FIELDS))
+
+
+def with_steps(index: DataFrame, allowed: int | None = None) -> DataFrame:
+    """``index`` with bad and next_bad: steps up to an interval, and to the next one, that change strand or target or shift by more than ``allowed`` (None: not counted)."""
+    if "bad" in index.columns and allowed is None:
+        return index
+    if allowed is None:
+        return index.withColumn("bad", F.lit(0)).withColumn("next_bad", F.lit(0))
+    fine = (F.col("strand") == F.col("next_strand")) & (F.col("target") == F.col("next_target")) & (F.abs(F.col("next_off") - F.col("off")) <= allowed)
+    w = Window.partitionBy("contig").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    step = (~F.coalesce(fine, F.lit(True))).cast("long")
+    counted = index.drop("bad", "next_bad").withColumn("__step", step)
+    counted = counted.withColumn("bad", F.coalesce(F.sum("__step").over(w), F.lit(0)))
+    return counted.withColumn("next_bad", F.col("bad") + F.col("__step")).drop("__step")
+
+
+@dataclass
+class Contig:
+    """Sorted arrays of one contig; ``first`` is the row of its first interval."""
+
+    length: int
+    first: int
+    starts: np.ndarray
+    ends: np.ndarray
+    upto: np.ndarray
+    step_ends: np.ndarray
+    shifts: np.ndarray
+    kept: np.ndarray
+
+
+class Search:
+    """The index as sorted arrays, made once for several joins."""
 
+    def __init__(self, spark, table: pa.Table):
+        order = np.lexsort((table.column("idx").to_numpy(), table.column("contig").to_numpy(zero_copy_only=False).astype(str)))
+        table = table.take(pa.array(order))
+        rows = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in FIELDS], names=list(FIELDS))
+        names = table.column("contig").to_numpy(zero_copy_only=False).astype(str)
+        heads = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, dtype=int)
+        contigs = {}
+        for a, z in zip(heads.tolist(), np.append(heads, len(names))[1:].tolist(), strict=True):
+            part = table.slice(a, z - a)
+            ends = part.column("source_end").to_numpy()
+            by_end = np.argsort(ends, kind="stable")
+            own = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("source_start", "off", "strand", "target")}
+            next_ = {c: np.append(v[1:], v[:1]) for c, v in own.items()} | {"source_end": np.append(ends[1:], ends[:1])}
+            forward = own["strand"].astype(bool)
+            shifts = np.where(forward, next_["off"] - own["off"], own["off"] + own["source_start"] + ends - next_["off"] - next_["source_start"] - next_["source_end"])
+            kept = (own["target"] == next_["target"]) & (np.arange(z - a) < z - a - 1)
+            contigs[str(names[a])] = Contig(int(max(part.column("s_len").to_pylist())), a, np.maximum(own["source_start"], 1), ends[by_end], np.maximum.accumulate(by_end), ends, shifts, kept)
+        self.shared = spark.sparkContext.broadcast((contigs, rows))
 
-def interval(prefix: str = "") -> Column:
-    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in FIELDS))
+    def __call__(self, contig: Column, pos: Column) -> Column:
+        shared = self.shared
 
+        @F.arrow_udf(f"struct<sidx:bigint,eidx:bigint,s:{_STRUCT},e:{_STRUCT}>")
+        def find(names: pa.Array, places: pa.Array) -> pa.Array:
+            contigs, rows = shared.value
+            n = len(names)
+            at = places.fill_null(-1).to_numpy(zero_copy_only=False)
+            sidx, eidx = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+            base, known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+            coded = names.dictionary_encode()
+            which = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for i, name in enumerate(coded.dictionary.to_pylist()):
+                own = contigs.get(name)
+                if own is None:
+                    continue
+                rows_ = np.flatnonzero((which == i) & (at >= 0) & (at < own.length))
+                p = at[rows_]
+                sidx[rows_] = np.searchsorted(own.starts, p, side="right") - 1
+                passed = np.searchsorted(own.ends, p, side="left")
+                eidx[rows_] = np.where(passed > 0, own.upto[np.maximum(passed - 1, 0)], 0)
+                base[rows_], known[rows_] = own.first, True
+            s = rows.take(pa.array(base + sidx, mask=sidx < 0))
+            e = rows.take(pa.array(base + eidx, mask=~known))
+            return pa.StructArray.from_arrays([pa.array(sidx), pa.array(eidx), s, e], names=["sidx", "eidx", "s", "e"])
 
-def slots(points: DataFrame, index: DataFrame, contig: str = "contig", pos: str = "pos", width: int = WIDTH) -> DataFrame:
+        return find(contig, pos.cast("long"))
+
+
+    def crossings(self, contig: Column, first: Column, last: Column, pos: Column) -> Column:
+        """array of (bp, diff): the ends of the intervals ``first`` to ``last`` behind a place, and the shift there."""
+        shared = self.shared
+
+        @F.arrow_udf("array<struct<bp:bigint,diff:bigint>>")
+        def find(names: pa.Array, firsts: pa.Array, lasts: pa.Array, places: pa.Array) -> pa.Array:
+            contigs, _ = shared.value
+            out: list[list[dict] | None] = []
+            for name, i, j, p in zip(*(x.to_pylist() for x in (names, firsts, lasts, places)), strict=True):
+                own = contigs.get(name) if None not in (i, j, p) else None
+                if own is None:
+                    out.append(None)
+                    continue
+                at = np.arange(max(i, 0), min(j + 1, len(own.kept)))
+                at = at[own.kept[at] & (own.step_ends[at] > p)]
+                out.append([{"bp": b, "diff": d} for b, d in zip((own.step_ends[at] - p).tolist(), own.shifts[at].tolist(), strict=True)])
+            return pa.array(out, pa.list_(pa.struct([("bp", pa.int64()), ("diff", pa.int64())])))
+
+        return find(contig, first, last, pos)
+
+
+def prepared(index: DataFrame | Search, most: int = SEARCHED) -> DataFrame | Search:
+    """``index`` as sorted arrays if it has at most ``most`` intervals, else as it is."""
+    if isinstance(index, Search):
+        return index
+    index = with_steps(index)
+    small = index.select("contig", F.col("s_len").cast("long").alias("s_len"), interval().alias("x")).select("contig", "s_len", "x.*").limit(most + 1).toArrow()
+    return Search(index.sparkSession, small) if small.num_rows <= most else index
+
+
+def slots(points: DataFrame, index: DataFrame | Search, contig: str = "contig", pos: str = "pos", width: int = WIDTH) -> DataFrame:
     """``points`` with sidx, eidx (-1: none) and s, e: the intervals they name.
 
     sidx is the last interval with max(start, 1) <= pos, eidx the last with
     end < pos (0 if there is none); both are -1 for a negative place, one at or
-    beyond the contig's length, or an unknown contig.
+    beyond the contig's length, a null one, or an unknown contig.
     """
-    cols = points.columns
-    known = index.groupBy(F.col("contig").alias("__contig")).agg(F.max("s_len").alias("__len"), F.min(interval()).alias("__first"))
-    p = points.join(known, points[contig] == F.col("__contig"), "left")
-    inside = F.coalesce(F.col("__contig").isNotNull() & (F.col(pos) >= 0) & (F.col(pos) < F.col("__len")), F.lit(False))
-    at = F.col(pos).cast("long")
-    # places outside go to buckets of their own, where nothing is found
-    bucket = F.when(inside, F.floor(at / width)).otherwise(-1 - F.pmod(F.xxhash64(at), F.lit(64))).cast("long")
-    p = p.select(F.struct(*cols).alias("row"), F.col(contig).alias("contig"), at.alias("at"), F.lit(1).alias("kind"), F.col("__first").alias("first"), inside.alias("inside"), bucket.alias("bucket"))
+    index = prepared(index)
+    if isinstance(index, Search):
+        found = points.withColumn("__found", index(F.col(contig), F.col(pos)))
+        return found.select(*points.columns, "__found.*")
+    return sorted_slots(points, index, contig, pos, width)
+
+
+def sorted_slots(points: DataFrame, index: DataFrame, contig: str = "contig", pos: str = "pos", width: int = WIDTH) -> DataFrame:
+    """``slots`` for an index of any size."""
+    index = with_steps(index)
+    lengths = index.groupBy(F.col("contig").alias("__contig")).agg(F.max("s_len").alias("__len"), F.min(interval()).alias("__first"))
+    at = F.col("at")
+    # places outside name no interval, and are left out
+    places = points.select(F.col(contig).alias("contig"), F.col(pos).cast("long").alias("at")).distinct()
+    places = places.join(lengths, F.col("contig") == F.col("__contig")).where((at >= 0) & (at < F.col("__len")))
+    places = places.select("contig", "at", F.lit(1).alias("kind"), F.col("__first").alias("first"), F.floor(at / width).cast("long").alias("bucket"))
     ends = F.array(F.struct(F.greatest("source_start", F.lit(1)).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("source_end").alias("at"), F.lit(2).alias("kind")))
     keys = index.select("contig", "s_len", F.explode(ends).alias("k"), interval().alias("own")).select("contig", "s_len", "k.at", "k.kind", "own").withColumn("bucket", F.floor(F.col("at") / width).cast("long"))
     start, end = (F.when(F.col("kind") == k, F.col("own")) for k in (0, 2))
@@ -44,15 +173,12 @@ def slots(points: DataFrame, index: DataFrame, contig: str = "contig", pos: str
     seeds = tops.select("contig", F.max("s").over(upto).alias("s"), F.max("e").over(upto).alias("e"), F.col("bucket").alias("__b"), after.cast("long").alias("__z"))
     seeds = seeds.where("__z > __b").withColumn("bucket", F.explode(F.expr("sequence(__b + 1, __z)"))).select("contig", "bucket", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("kind"), "s", "e")
     rows = keys.select("contig", "bucket", "at", "kind", start.alias("s"), end.alias("e")).union(seeds)
-    both = rows.unionByName(p, allowMissingColumns=True)
+    both = rows.unionByName(places, allowMissingColumns=True)
     # starts come before a point at the same place, ends after it
     w = Window.partitionBy("contig", "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("s", F.last("s", ignorenulls=True).over(w)).withColumn("e", F.last("e", ignorenulls=True).over(w)).where("kind = 1")
+    found = found.select(F.col("contig").alias("__contig"), F.col("at").alias("__spot"), F.col("s").alias("__s"), F.coalesce("e", "first").alias("__e"), F.col("e").isNotNull().alias("__passed"))
+    joined = points.join(found, (points[contig] == F.col("__contig")) & (points[pos].cast("long") == F.col("__spot")), "left")
     none = F.lit(-1).cast("long")
-    return found.select(
-        "row.*",
-        F.when(F.col("inside"), F.coalesce("s.idx", none)).otherwise(none).alias("sidx"),
-        F.when(F.col("inside"), F.coalesce("e.idx", F.lit(0).cast("long"))).otherwise(none).alias("eidx"),
-        F.when(F.col("inside"), F.col("s")).alias("s"),
-        F.when(F.col("inside"), F.coalesce("e", "first")).alias("e"),
-    )
+    eidx = F.when(F.col("__spot").isNull(), none).when(F.col("__passed"), F.col("__e")["idx"]).otherwise(F.lit(0).cast("long"))
+    return joined.select(*(points[c] for c in points.columns), F.coalesce(F.col("__s")["idx"], none).alias("sidx"), eidx.alias("eidx"), F.col("__s").alias("s"), F.col("__e").alias("e"))

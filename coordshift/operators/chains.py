@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordshift.operators.overlap import merge
+from coordshift.operators.index import chain_to_intervals
+from coordshift.operators.overlap import merged
 
 
 def invert(blocks: DataFrame) -> DataFrame:
@@ -34,14 +35,41 @@ def invert(blocks: DataFrame) -> DataFrame:
     )
 
 
-def to_bed(intervals: DataFrame) -> DataFrame:
-    """contig, start, end covered by blocks that keep their contig's name; touching blocks are joined."""
-    return merge(intervals.where("contig = target").select("contig", F.col("source_start").alias("start"), F.col("source_end").alias("end")))
+def to_bed(blocks: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """chain_id, contig, start, end covered by blocks of the chosen chains (all: None) that keep their contig's name; touching blocks of a chain are joined.
 
+    A chain's last block isn't part of the output.
+    """
+    chosen = blocks if ids is None else blocks.where(F.col("chain_id").cast("string").isin(*ids))
+    chosen = chosen.where("s_name = d_name").withColumn("__last", F.col("line_no") == F.max("line_no").over(Window.partitionBy("chain_id")))
+    kept = chain_to_intervals(chosen, F.col("chain_id"), F.col("__last")).where("not __last")
+    rows = kept.select("chain_id", "contig", F.col("source_start").alias("start"), F.col("source_end").alias("end"))
+    return merged(rows, ["chain_id", "contig"])
 
-def to_gaps(blocks: DataFrame) -> DataFrame:
-    """contig, pos (1-based), ref, alt of each gap, with A for unknown bases."""
-    w = Window.partitionBy("chain_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("s_start") + F.sum("len").over(w) + F.sum(F.coalesce("ds", F.lit(0))).over(w) - F.coalesce("ds", F.lit(0))
-    gaps = blocks.withColumn("pos", end).where("coalesce(ds, 0) > 0 or coalesce(dd, 0) > 0")
-    return gaps.select(F.col("s_name").alias("contig"), F.col("pos").cast("long").alias("pos"), F.repeat(F.lit("A"), (F.col("ds") + 1).cast("int")).alias("ref"), F.repeat(F.lit("A"), (F.col("dd") + 1).cast("int")).alias("alt"))
+
+def to_vcf(blocks: DataFrame) -> DataFrame:
+    """contig, pos (1-based, in the destination), ref, alt, info of the net length of each gap, with A for unknown bases; a chain's offset is a record as well.
+
+    A chain that keeps its contig's name has the difference of its starts as
+    that first record, another one the difference of its two lengths.
+    """
+    w = Window.partitionBy("chain_id").orderBy("line_no")
+    n = blocks.withColumn("__at", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy("chain_id")))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("chain_id")
+    inner = F.col("__at") < F.col("__n")
+    ds, dd = (F.when(inner, F.coalesce(c, F.lit(0))).otherwise(0) for c in ("ds", "dd"))
+    n = n.withColumn("__ds", ds).withColumn("__dd", dd)
+    n = n.withColumn("__t", F.col("s_start") + 1 + F.col("len") + F.coalesce(F.sum(F.col("len") + F.col("__ds")).over(before), F.lit(0)))
+    n = n.withColumn("__q", F.col("d_start") + 1 + F.col("len") + F.coalesce(F.sum(F.col("len") + F.col("__dd")).over(before), F.lit(0)))
+    n = n.withColumn("__st", F.sum(F.col("len") + F.col("__ds")).over(whole)).withColumn("__sd", F.sum(F.col("len") + F.col("__dd")).over(whole))
+    more = F.col("__ds") - F.col("__dd")
+    bases = lambda net, here: F.repeat(F.lit("A"), (F.when(here, F.abs(net)).otherwise(0) + 1).cast("int"))
+    tpos = lambda place: F.concat(F.lit("TPOS="), place.cast("string"))
+    gaps = n.where(inner & (more != 0)).select("chain_id", F.col("d_name").alias("contig"), F.col("__q").cast("long").alias("pos"), bases(more, more < 0).alias("ref"), bases(more, more > 0).alias("alt"), F.concat(tpos(F.col("__t")), F.lit(";ALN_DT="), F.col("__ds").cast("string"), F.lit(";ALN_DQ="), F.col("__dd").cast("string")).alias("info"))
+    same = F.col("s_name") == F.col("d_name")
+    # a later source start is an insertion in the destination, as is a longer source
+    offset = F.when(same, F.col("s_start") - F.col("d_start")).otherwise(F.col("__st") - F.col("__sd"))
+    shifted = F.col("d_start") + 1 - F.when(~same & (offset < 0), F.col("__sd")).otherwise(0)
+    heads = n.where("__at = 1").where(offset != 0).select("chain_id", F.col("d_name").alias("contig"), shifted.cast("long").alias("pos"), bases(offset, offset < 0).alias("ref"), bases(offset, offset > 0).alias("alt"), tpos(F.col("s_start") + 1).alias("info"))
+    return heads.union(gaps)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chain_to_intervals(blocks: DataFrame) -> DataFrame:
+def chain_to_intervals(blocks: DataFrame, *more: Column) -> DataFrame:
     """Running sums of block lengths and gaps give each block's source interval and offset.
 
     Needs chain_id, line_no, s_name, s_len, s_start, d_name, d_len, d_start,
-    strand, len, ds, dd; the last block of a chain has null gaps.
+    strand, len, ds, dd; the last block of a chain has null gaps. ``more``:
+    further columns to keep.
     """
     w = Window.partitionBy("chain_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     run = blocks.withColumn("cs", F.coalesce(F.sum(F.col("len") + F.coalesce("ds", F.lit(0))).over(w), F.lit(0)))
@@ -26,6 +27,7 @@ def chain_to_intervals(blocks: DataFrame) -> DataFrame:
         start.cast("long").alias("source_start"),
         (start + F.col("len")).cast("long").alias("source_end"),
         F.when(F.col("strand"), forward).otherwise(backward).cast("long").alias("off"),
+        *more,
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordshift.operators.asof import slots
+from coordshift.functions import cigar as C
+from coordshift.functions.sam import has, reverse_complement, reversed_array
+from coordshift.operators.asof import Search, prepared, slots, with_steps
 
 
 def lifted(pos: Column, at: Column) -> Column:
@@ -35,7 +37,7 @@ def _clip(in_gap: Column, gap: Column, s: Column, e: Column) -> Column:
     return F.when(bad, -1).when(in_gap, gap).otherwise(inside).cast("long")
 
 
-def lift_points(points: DataFrame, index: DataFrame, allowed: int = 0, left: bool = True, contig: str = "contig", pos: str = "pos") -> DataFrame:
+def lift_points(points: DataFrame, index: DataFrame | Search, allowed: int = 0, left: bool = True, contig: str = "contig", pos: str = "pos") -> DataFrame:
     """``points`` with sidx, eidx, clip, target ("*": none) and lifted (-1: not liftable).
 
     Leftmost places in a gap move on to the next interval, rightmost ones back;
@@ -59,7 +61,7 @@ def lift_bed(bed: DataFrame, index: DataFrame, allowed: int = 500) -> DataFrame:
     The end is lifted as the last base. The gap test uses that last base, so
     ``allowed`` 0 refuses every interval.
     """
-    cols = bed.columns
+    cols, index = bed.columns, prepared(index)
     first = lift_points(bed, index, allowed, True, "contig", "bed_start").select(*cols, F.col("target").alias("t1"), F.col("lifted").alias("op1"))
     both = lift_points(first.withColumn("__last", F.col("bed_end") - 1), index, allowed, False, "contig", "__last")
     both = both.withColumn("t2", F.col("target")).withColumn("op2", F.col("lifted") + 1)
@@ -68,31 +70,40 @@ def lift_bed(bed: DataFrame, index: DataFrame, allowed: int = 500) -> DataFrame:
     return both.select(*cols, "t1", "op1", "t2", "op2", (~bad).alias("ok"))
 
 
+def _met(spans: DataFrame, index: DataFrame, last: str, steps: list[Column]) -> DataFrame:
+    """``spans`` with the steps from start_idx to ``last``, on buckets of interval ranks; spans over many buckets meet whole ones."""
+    wide = 64
+    own = index.where("next_off is not null").select(F.col("contig").alias("__contig"), F.col("idx").alias("__idx"), F.floor(F.col("idx") / wide).alias("__b"), *steps)
+    cut = spans.withColumn("__b", F.explode(F.expr(f"sequence(start_idx div {wide}, greatest({last}, start_idx) div {wide})")))
+    return cut.join(own, (F.col("contig") == F.col("__contig")) & (cut["__b"] == own["__b"])).where(f"__idx between start_idx and {last}")
+
+
 def legal_spans(spans: DataFrame, index: DataFrame, allowed: int) -> DataFrame:
-    """``spans`` (id, contig, start_idx, end_idx) with legal: all steps between the intervals keep strand, target and offset.
+    """``spans`` (id, contig, start_idx, end_idx and others) with legal: all steps between the intervals keep strand, target and offset.
 
-    Only spans over several intervals are joined, on buckets of 64 interval ranks.
+    A span over one interval is legal; one that names intervals the contig
+    doesn't have isn't. Every span is returned.
     """
-    one = spans.where("start_idx >= end_idx").withColumn("legal", F.lit(True))
-    many = spans.where("start_idx < end_idx")
-    wide = 64
-    steps = index.where("next_off is not null").select(F.col("contig"), F.col("idx"), F.floor(F.col("idx") / wide).alias("b"), ((F.col("strand") == F.col("next_strand")) & (F.col("target") == F.col("next_target")) & (F.abs(F.col("next_off") - F.col("off")) <= allowed)).alias("fine"), (F.col("next_off") - F.col("off")).alias("step"))
-    cut = many.withColumn("b", F.explode(F.expr(f"sequence(start_idx div {wide}, (end_idx - 1) div {wide})")))
-    met = cut.join(steps, ["contig", "b"]).where("idx >= start_idx and idx < end_idx")
-    judged = met.groupBy(*spans.columns).agg((F.min("fine") & (F.abs(F.sum("step")) <= allowed)).alias("legal"))
-    return one.unionByName(judged)
+    fine = (F.col("strand") == F.col("next_strand")) & (F.col("target") == F.col("next_target")) & (F.abs(F.col("next_off") - F.col("off")) <= allowed)
+    many = spans.where("start_idx < end_idx and start_idx >= 0")
+    met = _met(many.select("id", "contig", "start_idx", "end_idx").distinct(), index, "end_idx - 1", [fine.alias("__fine"), (F.col("next_off") - F.col("off")).alias("__step")])
+    keys = ["id", "contig", "start_idx", "end_idx"]
+    judged = met.groupBy(*keys).agg((F.min("__fine") & (F.abs(F.sum("__step")) <= allowed)).alias("__legal"), F.count("*").alias("__n"))
+    joined = spans.join(judged, keys, "left")
+    legal = F.when(F.col("start_idx") >= F.col("end_idx"), True).otherwise(F.coalesce(F.col("__legal") & (F.col("__n") == F.col("end_idx") - F.col("start_idx")), F.lit(False)))
+    return joined.select(*(spans[c] for c in spans.columns), legal.alias("legal"))
 
 
 def break_points(spans: DataFrame, index: DataFrame) -> DataFrame:
-    """``spans`` (id, contig, pos, start_idx, end_idx) with bps: array of (bp, diff), in order, for all steps up to end_idx."""
-    wide = 64
+    """``spans`` (id, contig, pos, start_idx, end_idx and others) with bps: array of (bp, diff), in order, for all steps up to end_idx; empty without any."""
     here = F.col("off") + F.col("source_start") + F.col("source_end")
     there = F.col("next_off") + F.col("next_source_start") + F.col("next_source_end")
-    steps = index.where("next_off is not null and target = next_target").select("contig", "idx", F.floor(F.col("idx") / wide).alias("b"), F.col("source_end"), F.when(F.col("strand"), F.col("next_off") - F.col("off")).otherwise(here - there).alias("diff"))
-    cut = spans.withColumn("b", F.explode(F.expr(f"sequence(start_idx div {wide}, end_idx div {wide})")))
-    met = cut.join(steps, ["contig", "b"]).where("idx between start_idx and end_idx and source_end > pos")
-    own = met.groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("source_end") - F.col("pos")).alias("bp"), "diff"))).alias("x"))
-    return own.select(*spans.columns, F.transform("x", lambda v: F.struct(v["bp"].alias("bp"), v["diff"].alias("diff"))).alias("bps"))
+    diff = F.when(F.col("strand"), F.col("next_off") - F.col("off")).otherwise(here - there)
+    met = _met(spans.select("id", "contig", "pos", "start_idx", "end_idx").distinct(), index.where("target = next_target"), "end_idx", [F.col("source_end").alias("__end"), diff.alias("__diff")]).where("__end > pos")
+    keys = ["id", "contig", "pos", "start_idx", "end_idx"]
+    own = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__idx", (F.col("__end") - F.col("pos")).alias("bp"), F.col("__diff").alias("diff")))).alias("x"))
+    listed = F.transform("x", lambda v: F.struct(v["bp"].alias("bp"), v["diff"].alias("diff")))
+    return spans.join(own, keys, "left").select(*(spans[c] for c in spans.columns), F.coalesce(listed, F.array().cast("array<struct<bp:bigint,diff:bigint>>")).alias("bps"))
 
 
 def status_code(paired: Column, self_ok: Column, mate_ok: Column) -> Column:
@@ -108,41 +119,78 @@ def lift_tlen(status: Column, tlen: Column, same: Column, turned: Column, pos: C
     return F.when((status == "L_L") & (tlen != 0) & same, F.when(turned, flipped).otherwise(kept)).otherwise(0).cast("long")
 
 
-def lift_alignments(aln: DataFrame, index: DataFrame, allowed: int = 0, keep_mapq: bool = False) -> DataFrame:
-    """Lifted alignments in coordinates: lo, and the lifted rname, pos, flag, mapq, rnext, pnext, tlen.
+def _side(rows: DataFrame, search, contig: str, pos: str, size: str, name: str, allowed: int, own: bool, listed: DataFrame | None) -> DataFrame:
+    """``rows`` with what lifting one end of a pair gives: ``name``_ok, _target, _strand, _pos, _i, _j, _clip, _cut.
 
-    Needs qname, flag, rname, pos, mapq, rlen, rnext, pnext, mate_rlen, tlen and
-    a unique id. CIGARs are lifted by ``functions.cigar.lift`` on top of this.
+    A mate has no clips: its place doesn't move on over the bases before an interval.
+    """
+    cols, s_ = rows.columns, F.col("s")
+    a = slots(rows, search, contig, pos).withColumn("__clip", clip_start(F.col(pos)))
+    on = (F.col("sidx") == F.col("eidx")) & (F.col("sidx") != 0) & s_["next_source_start"].isNotNull()
+    names = ("target", "strand", "off", "source_start", "source_end", "bad")
+    following = F.struct(*(s_[f"next_{c}"].alias(c) for c in names))
+    current = F.struct(*(s_[c].alias(c) for c in names))
+    a = a.select(*cols, F.when(on, following).otherwise(current).alias("__at"), F.when(on, F.col("sidx") + 1).otherwise(F.col("sidx")).alias("__i"), F.col("eidx").alias("__seen"), "__clip", (F.col(pos) + F.col(size)).alias("__stop"))
+    b = slots(a, search, contig, "__stop").withColumn("__cut", clip_end(F.col("__stop")))
+    ok = (F.col("__i") >= 0) & (F.col("__seen") >= 0) & F.col("__clip").between(0, allowed) & (F.col("sidx") >= 0) & (F.col("eidx") >= 0)
+    if own:
+        ok = ok & (F.col("__cut") >= 0) & (F.col("__clip") + F.col("__cut") <= allowed)
+    # steps between the intervals: as many unfit ones up to the last as up to the first
+    steps = (F.col("s")["bad"] == F.col("__at")["bad"]) & (F.abs(F.col("s")["off"] - F.col("__at")["off"]) <= allowed)
+    ok = ok & ((F.col("__i") >= F.col("sidx")) | steps)
+    if listed is not None:
+        known = listed.select(F.col("name").alias("__name")).distinct()
+        b = b.join(known, F.col("__at")["target"] == F.col("__name"), "left")
+        ok = ok & F.col("__name").isNotNull()
+    before, after = (F.greatest(c, F.lit(0)) if own else F.lit(0) for c in ("__clip", "__cut"))
+    place = F.when(F.col("__at")["strand"], lifted(F.col(pos), F.col("__at")) + before).otherwise(lifted(F.col("__stop"), F.col("s")) + after)
+    ok = F.coalesce(ok & (place >= 0), F.lit(False))
+    return b.select(*cols, ok.alias(f"{name}_ok"), F.col("__at")["target"].alias(f"{name}_target"), F.col("__at")["strand"].alias(f"{name}_strand"), place.alias(f"{name}_pos"), F.col("__i").alias(f"{name}_i"), F.col("sidx").alias(f"{name}_j"), F.greatest("__clip", F.lit(0)).alias(f"{name}_clip"), F.greatest("__cut", F.lit(0)).alias(f"{name}_cut"))
+
+
+def lift_segments(aln: DataFrame, index: DataFrame, allowed: int = 0, contigs: DataFrame | None = None) -> DataFrame:
+    """``aln`` with own_ and mate_ columns: ok, target, strand, pos; and new_cigar of the lifted ones, if it has a column cigar.
+
+    Needs flag, rname, pos, rlen, rnext, pnext, mate_rlen; cigar and l_qseq for
+    the CIGARs; and a unique id where the index is too large to be searched in
+    place. ``contigs``: names of the destination's header; a read that lifts to
+    another one fails. An end that isn't mapped, a negative place, steps between
+    intervals that aren't legal, or a CIGAR that can't be kept, fail.
+    """
+    counted, cols = with_steps(index, allowed), aln.columns
+    search = prepared(counted)
+    got = _side(aln, search, "rname", "pos", "rlen", "own", allowed, True, contigs)
+    got = _side(got, search, "rnext", "pnext", "mate_rlen", "mate", allowed, False, contigs)
+    got = got.withColumn("own_ok", F.col("own_ok") & ~has("flag", 4)).withColumn("mate_ok", F.col("mate_ok") & ~has("flag", 8) & has("flag", 1))
+    ends = [f"{n}_{c}" for n in ("own", "mate") for c in ("ok", "target", "strand", "pos")]
+    if "cigar" not in cols:
+        return got.select(*cols, *ends)
+    many = F.col("own_ok") & (F.col("own_i") < F.col("own_j"))
+    if isinstance(search, Search):
+        got = got.withColumn("__bps", search.crossings(F.when(many, F.col("rname")), F.col("own_i"), F.col("own_j"), F.col("pos")))
+    else:
+        spans = got.where(many).select("id", F.col("rname").alias("contig"), "pos", F.col("own_i").alias("start_idx"), F.col("own_j").alias("end_idx"))
+        got = got.join(break_points(spans, index).select("id", F.col("bps").alias("__bps")), "id", "left")
+    one = F.col("own_i") == F.col("own_j")
+    easy = one & (F.col("own_clip") == 0) & (F.col("own_cut") == 0) & ~F.col("cigar").rlike("[=X]")
+    # the plain case gives Python nulls
+    hard = C.lift(F.when(F.col("own_ok") & ~easy, F.col("cigar")), F.coalesce("l_qseq", F.lit(0)), F.col("__bps")["bp"], F.col("__bps")["diff"], one, "own_strand", "own_clip", "own_cut")
+    out = got.withColumn("new_cigar", F.when(easy, F.when(F.col("own_strand"), F.col("cigar")).otherwise(C.turned("cigar"))).otherwise(hard))
+    whole = has("flag", 256 | 2048) | (F.coalesce(F.col("l_qseq"), F.lit(0)) == C.query_length("new_cigar"))
+    out = out.withColumn("own_ok", F.col("own_ok") & F.coalesce(whole & F.col("new_cigar").isNotNull(), F.lit(False)))
+    return out.select(*cols, *ends, F.when(F.col("own_ok"), F.col("new_cigar")).otherwise("*").alias("new_cigar"))
+
+
+def lift_alignments(aln: DataFrame, index: DataFrame, allowed: int = 0, keep_mapq: bool = False, contigs: DataFrame | None = None) -> DataFrame:
+    """Lifted alignments: ``aln`` with lo, the own_ and mate_ columns, and new_ flag, rname, pos, mapq, rnext, pnext, tlen and cigar.
+
+    Needs what ``lift_segments`` does, and qname, mapq, tlen. Without the column
+    cigar, coordinates alone are lifted.
     """
-    from coordshift.functions.sam import has
-
     cols = aln.columns
-
-    def side(rows: DataFrame, contig: str, pos: str, size: str, name: str, clips: bool) -> DataFrame:
-        end = "__end"
-        a = slots(rows, index, contig, pos).withColumn("__c1", clip_start(F.col(pos)))
-        on = (F.col("sidx") == F.col("eidx")) & (F.col("sidx") != 0) & F.col("s")["next_source_start"].isNotNull()
-        s_ = F.col("s")
-        following = F.struct(*(s_[f"next_{c}"].alias(c) for c in ("target", "strand", "off", "source_start", "source_end")))
-        current = F.struct(*(s_[c].alias(c) for c in ("target", "strand", "off", "source_start", "source_end")))
-        a = a.select(*rows.columns, F.when(on, following).otherwise(current).alias("__s"), F.when(on, F.col("sidx") + 1).otherwise(F.col("sidx")).alias("__i1"), F.col("eidx").alias("__e1"), "__c1", (F.col(pos) + F.col(size)).alias(end))
-        b = slots(a, index, contig, end).withColumn("__c2", clip_end(F.col(end)))
-        start_ok = (F.col("__i1") >= 0) & (F.col("__e1") >= 0) & (F.col("__c1") >= 0) & (F.col("__c1") <= allowed)
-        end_ok = (F.col("sidx") >= 0) & (F.col("eidx") >= 0)
-        if clips:
-            end_ok = end_ok & (F.col("__c2") >= 0) & (F.col("__c1") + F.col("__c2") <= allowed)
-        e_ = F.col("s")
-        place = F.when(F.col("__s")["strand"], lifted(F.col(pos), F.col("__s")) + F.greatest("__c1", F.lit(0))).otherwise(lifted(F.col(end), e_) + (F.greatest("__c2", F.lit(0)) if clips else F.lit(0)))
-        b = b.select(*rows.columns, F.coalesce(start_ok & end_ok, F.lit(False)).alias("__ok"), F.col("__s")["target"].alias(f"{name}_target"), F.col("__s")["strand"].alias(f"{name}_strand"), place.alias(f"{name}_pos"), F.col("__i1").alias("start_idx"), F.col("sidx").alias("end_idx"), F.col(contig).alias("contig")).persist()
-        spans = b.where("__ok and start_idx < end_idx").select("id", "contig", "start_idx", "end_idx")
-        legal = legal_spans(spans, index, allowed).select("id", "legal")
-        ok = F.col("__ok") & F.when(F.col("start_idx") < F.col("end_idx"), F.coalesce("legal", F.lit(False))).otherwise(True) & (F.col(f"{name}_pos") >= 0)
-        return b.join(legal, "id", "left").withColumn(f"{name}_ok", ok).drop("__ok", "legal", "start_idx", "end_idx", "contig")
-
-    got = side(side(aln, "rname", "pos", "rlen", "own", True), "rnext", "pnext", "mate_rlen", "mate", False)
+    got = lift_segments(aln, index, allowed, contigs)
     paired = has("flag", 1)
-    own_ok, mate_ok = F.col("own_ok") & ~has("flag", 4), F.col("mate_ok") & ~has("flag", 8) & paired
-    got = got.withColumn("own_ok", own_ok).withColumn("mate_ok", mate_ok).withColumn("lo", status_code(paired, F.col("own_ok"), F.col("mate_ok")))
+    got = got.withColumn("lo", status_code(paired, F.col("own_ok"), F.col("mate_ok")))
     own_turn, mate_turn = F.col("own_ok") & ~F.col("own_strand"), F.col("mate_ok") & ~F.col("mate_strand")
     flag = F.col("flag")
     flag = F.when(~F.col("own_ok"), flag.bitwiseOR(4).bitwiseAND(~2 & ~16)).otherwise(F.when(own_turn, flag.bitwiseXOR(F.lit(16))).otherwise(flag))
@@ -154,5 +202,32 @@ def lift_alignments(aln: DataFrame, index: DataFrame, allowed: int = 0, keep_map
     tlen = lift_tlen(F.col("lo"), F.col("tlen"), F.col("own_target") == F.col("mate_target"), own_turn | mate_turn, F.col("pos"), F.col("pnext"), F.col("own_pos"), F.col("mate_pos"))
     tlen = F.when(~paired, F.col("tlen")).otherwise(tlen)
     mapq = F.col("mapq") if keep_mapq else F.when(F.col("own_ok"), F.col("mapq")).otherwise(0)
-    new = {"lo": F.col("lo"), "new_flag": flag, "new_rname": rname, "new_pos": pos.cast("long"), "new_mapq": mapq, "new_rnext": rnext, "new_pnext": pnext.cast("long"), "new_tlen": tlen.cast("long")}
-    return got.select(*cols, *(c.alias(n) for n, c in new.items()))
+    new = {"new_flag": flag, "new_rname": rname, "new_pos": pos.cast("long"), "new_mapq": mapq, "new_rnext": rnext, "new_pnext": pnext.cast("long"), "new_tlen": tlen.cast("long")}
+    more = ["new_cigar"] if "new_cigar" in got.columns else []
+    return got.select(*cols, "lo", "own_ok", "mate_ok", "own_strand", "mate_strand", *(c.alias(n) for n, c in new.items()), *more)
+
+
+def lift_records(records: DataFrame, index: DataFrame, allowed: int = 0, keep_mapq: bool = False, contigs: DataFrame | None = None, ultima: bool = False) -> DataFrame:
+    """SAM records (as ``sources.sam`` reads them) to whole lifted records, with id, and the original one as column original.
+
+    SEQ and QUAL are turned where the strand changes, and back to the read's own
+    strand where it is unmapped; NM and MD are dropped, as is MC where the mate
+    isn't lifted; LO is added.
+    """
+    fields = records.columns
+    rows = records.withColumn("id", F.monotonically_increasing_id()).withColumn("original", F.struct(*fields))
+    mc = F.col("tags")["MC"]["value"]
+    size = F.when(F.col("seq") == "*", 0).otherwise(F.length("seq")).cast("long")
+    rows = rows.withColumn("l_qseq", size).withColumn("rlen", C.reference_length("cigar")).withColumn("mate_rlen", F.coalesce(F.when(mc.isNotNull(), C.reference_length(mc)), size))
+    rows = rows.withColumn("rnext", F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")))
+    got = lift_alignments(rows, index, allowed, keep_mapq, contigs)
+    turn = F.when(F.col("own_ok"), ~F.col("own_strand")).otherwise(has("flag", 16))
+    seq = F.when((F.col("seq") != "*") & turn, reverse_complement("seq")).otherwise(F.col("seq"))
+    qual = F.when((F.col("qual") != "*") & turn, F.reverse("qual")).otherwise(F.col("qual"))
+    lost = F.array(F.lit("NM"), F.lit("MD"))
+    tags = F.map_filter("tags", lambda k, _: ~F.array_contains(lost, k) & ~((k == "MC") & has("flag", 1) & ~F.col("mate_ok")) & (k != "LO"))
+    if ultima:
+        tags = F.transform_values(tags, lambda k, v: F.when(k == "t0", F.struct(v["type"].alias("type"), F.reverse(v["value"]).alias("value"))).when(k == "tp", F.struct(v["type"].alias("type"), reversed_array(v["value"]).alias("value"))).otherwise(v))
+    tags = F.map_concat(tags, F.map_from_arrays(F.array(F.lit("LO")), F.array(F.struct(F.lit("Z").alias("type"), F.col("lo").alias("value")))))
+    new = {"qname": F.col("qname"), "seq": seq, "qual": qual, "tags": tags} | {c: F.col(f"new_{c}") for c in ("flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen")}
+    return got.select("id", *(new[c].alias(c) for c in fields if c in new), "lo", "original")

@@ -33,13 +33,38 @@ def flag_overlaps(a: DataFrame, b: DataFrame, threshold: float = 0.0, name: str
     return a.join(best, "id", "left").withColumn(name, F.coalesce(enough & F.col("__best").isNotNull(), F.lit(False))).drop("__best")
 
 
-def merge(rows: DataFrame, gap: int = 0) -> DataFrame:
-    """Disjoint contig, start, end that cover the same bases; touching ones (or up to ``gap`` apart) are joined."""
-    w = Window.partitionBy("contig").orderBy("start", "end")
+def merge(rows: DataFrame, gap: int = 0, width: int = 1 << 20) -> DataFrame:
+    """Disjoint contig, start, end that cover the same bases; touching ones (or up to ``gap`` apart) are joined.
+
+    Intervals are merged inside bins of their start first, so no task sees a
+    contig's rows; what is left, the covered parts of each bin, is merged over bins.
+    """
+    own = rows.select("contig", F.col("start").cast("long"), F.col("end").cast("long"))
+    inside = merged(own.withColumn("__bin", F.floor(F.col("start") / width)), ["contig", "__bin"], gap)
+    # a bin's last reach and first start decide whether bins join; parts between are final
+    ends = Window.partitionBy("contig", "__bin")
+    marked = inside.withColumn("__open", (F.col("start") == F.min("start").over(ends)) | (F.col("end") == F.max("end").over(ends)))
+    reach = inside.groupBy("contig", "__bin").agg(F.max("end").alias("reach"), F.min("start").alias("first"))
+    over = Window.partitionBy("contig").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = reach.withColumn("__before", F.max("reach").over(over)).select("contig", "__bin", "__before")
+    known = marked.join(carried, ["contig", "__bin"])
+    # parts that an earlier bin reaches over join it as well
+    loose = F.col("__open") | (F.col("start") <= F.coalesce(F.col("__before"), F.lit(-1)) + gap)
+    known = known.withColumn("__open", loose)
+    return known.where("not __open").select("contig", "start", "end").union(merged(known.where("__open").select("contig", "start", "end"), ["contig"], gap))
+
+
+def merged(rows: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
+    """``merge`` with one task for each value of ``keys``."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = rows.select("contig", F.col("start").cast("long"), F.col("end").cast("long")).withColumn("__new", F.coalesce(F.col("start") > reach + gap, F.lit(True)).cast("long"))
-    runs = runs.withColumn("__run", F.sum("__new").over(w))
-    return runs.groupBy("contig", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    runs = rows.withColumn("__new", F.coalesce(F.col("start") > reach + gap, F.lit(True)).cast("long")).withColumn("__run", F.sum("__new").over(w))
+    return runs.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Disjoint contig, start, end that cover the bases of either."""
+    return merge(a.select("contig", "start", "end").union(b.select("contig", "start", "end")))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,13 +86,19 @@ def mappable_islands(rows: DataFrame, k: int) -> DataFrame:
     """Runs of mappable bedgraph rows (contig, start, end, mappable) as contig, start, end.
 
     A run begins no earlier than k bases after the last unmappable run began,
-    and ends where the next unmappable row begins; a run at the end of a contig
-    is kept for the last contig only.
+    and ends where the next unmappable row begins; a contig whose first row is
+    unmappable is mappable before it. A run at the end of a contig is kept for
+    the last contig (by name) only, and ends k bases after its last row's start.
     """
     w = Window.partitionBy("contig").orderBy("start")
     runs = rows.withColumn("__new", F.coalesce(F.lag("mappable").over(w) != F.col("mappable"), F.lit(True)).cast("long")).withColumn("__run", F.sum("__new").over(w))
-    runs = runs.groupBy("contig", "__run", "mappable").agg(F.min("start").alias("start"))
+    runs = runs.groupBy("contig", "__run", "mappable").agg(F.min("start").alias("start"), F.max("start").alias("last"))
     v = Window.partitionBy("contig").orderBy("__run")
-    runs = runs.withColumn("before", F.lag("start").over(v)).withColumn("after", F.lead("start").over(v)).where("mappable")
-    begin = F.greatest(F.col("start"), F.coalesce(F.col("before") + k, F.col("start")))
-    return runs.select("contig", begin.alias("start"), F.col("after").alias("end")).where("end is not null and end > start")
+    runs = runs.withColumn("before", F.lag("start").over(v)).withColumn("after", F.lead("start").over(v))
+    final = F.broadcast(rows.agg(F.max("contig").alias("__final")))
+    runs = runs.join(final, F.col("after").isNull() & (F.col("contig") == F.col("__final")), "left")
+    tail = F.when(F.col("__final").isNotNull(), F.col("last") + k)
+    begin = F.greatest(F.col("start"), F.coalesce(F.col("before") + k, F.lit(0)))
+    own = runs.where("mappable").select("contig", begin.alias("start"), F.coalesce("after", tail).alias("end"))
+    ahead = runs.where("not mappable and before is null").select("contig", F.lit(0).cast("long").alias("start"), F.col("start").alias("end"))
+    return own.union(ahead).where("end > start")

@@ -38,7 +38,7 @@ RECON = """SELECT concat('r', CAST(a.o_orderkey AS STRING)) AS qname, b.label, C
  CAST((a.o_orderkey * b.k) % 7 AS INT) AS nm, CAST((a.o_orderkey * b.k) % 9 - 4 AS BIGINT) AS tlen
  FROM orders a CROSS JOIN (SELECT 'source' AS label, 3 AS k UNION ALL SELECT 'target' AS label, 5 AS k) b CROSS JOIN (SELECT 1 AS segment UNION ALL SELECT 2 AS segment) s"""
 
-SEQ = """SELECT doc_id, translate(upper(regexp_replace(substring(text, 1, 400), '[^A-Za-z]', '' /*g*/)),
+SEQ = """SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '' /*g*/)),
  'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACNACGTACGTACG') AS seq FROM documents"""
 
 INTERVALS = f"""WITH b AS ({BLOCKS}), r AS (SELECT *, coalesce(sum(len + ds) OVER w, 0) AS cs, coalesce(sum(len + dd) OVER w, 0) AS cd FROM b
