@@ -20,6 +20,7 @@ along by ``sample`` and ignored elsewhere; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,7 +82,11 @@ def fixed_targets(cells: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
-    """``cells`` with a column weight; tokens * weight has the target marginals and the total of tokens."""
+    """``cells`` with a column weight; tokens * weight has the target marginals and the total of tokens.
+
+    Targets that contradict each other can't be met: a warning says by how much
+    they are missed.
+    """
     cells = cells.withColumn("weight", F.lit(1.0))
     few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     if few:
@@ -109,8 +114,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tole
         # A checkpoint keeps the size that the optimizer estimated, the product of the joined sizes: its digits would
         # double with every join. A limit above the checked number of cells, or a written table, ends that.
         cells = checkpointed(cells.limit(BROADCAST_CELLS)) if few else written(cells, "cells")
-        if (cells.agg(F.max("miss")).first()[0] or 0.0) < tolerance:
+        miss = cells.agg(F.max("miss")).first()[0] or 0.0
+        if miss < tolerance:
             break
+    else:
+        warnings.warn(f"targets are missed by up to {miss:.2g} of all tokens after {rounds} rounds", stacklevel=2)
     return cells.drop("miss")
 
 

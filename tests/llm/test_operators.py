@@ -305,3 +305,269 @@ def test_pipeline(spark):
             assert new.columns == docs.columns
         docs = new
     assert 0 < docs.count() < 200
+
+
+def found_spans(spark, rows, **more):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    return passages.find_passages(df, **more).collect()
+
+
+def test_passages_that_others_quote(spark):
+    """Two documents share 80 words; many others quote parts of them before, between and after."""
+    rng = np.random.default_rng(11)
+    p = varied(rng, 80)
+    part = lambda i: p[(7 * i) % 52 : (7 * i) % 52 + 28]
+    rows = [(i, varied(rng, 30) + part(i) + varied(rng, 30)) for i in range(60) if i not in (20, 50)]
+    rows += [(20, varied(rng, 40) + p + varied(rng, 40)), (50, varied(rng, 25) + p + varied(rng, 9))]
+    got = [(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in found_spans(spark, sorted(rows))]
+    assert (50, 20, 25, 105) in got and all(d == 50 for d, *_ in got)
+
+
+def test_passages_equal_brute_force_on_changed_copies(spark):
+    """Copies of 60 words with a share of them changed: those still alike enough by plain alignment are found."""
+    rng, rows, want = np.random.default_rng(12), [], set()
+    for i in range(80):
+        p = varied(rng, 60)
+        q = [w if rng.random() > (0.06, 0.12, 0.16)[i % 3] else f"c{rng.integers(0, 1 << 40)}" for w in p]
+        rows += [(1000 + i, varied(rng, 30) + p + varied(rng, 30)), (2000 + i, varied(rng, 30) + q + varied(rng, 30))]
+        if sum(a == b for a, b in zip(p, q, strict=True)) >= 0.82 * 60:
+            want.add((2000 + i, 1000 + i))
+    got = {(r["doc_id"], r["source_id"]) for r in found_spans(spark, rows)}
+    assert got <= {(2000 + i, 1000 + i) for i in range(80)} and len(want & got) >= 0.9 * len(want) and len(want) > 60
+
+
+def test_seeds_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(13)
+    words = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 3, 8, 500, 77)] + [np.zeros(60, dtype=np.uint64)]
+    whole = passages.seeds(words)
+    monkeypatch.setattr(passages, "_PART", 16)
+    assert all((a == b).all() for a, b in zip(whole, passages.seeds(words), strict=True)) and len(whole[0]) > 100
+
+
+def test_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(14)
+    pool = [f"line {i} " + "x" * int(rng.integers(0, 60)) for i in range(9)] + ["", "}", "  ", "a b"]
+    rows = [(int(i), "\n".join(pool[j] for j in rng.integers(0, len(pool), int(rng.integers(0, 14))))) for i in rng.permutation(60)]
+    rows += [(100, rows[3][1]), (101, "z" * 50), (102, "z" * 50 + "\n" + "\n".join("abcdefgh")), (103, "\n".join("abcdefgh") + "\n" + "y" * 45)]
+    texts = [(i, [x.strip(" ") for x in t.split("\n")]) for i, t in sorted(rows)]
+    places = [(d, p) for d, (_, own) in enumerate(texts) for p in range(len(own))]
+    want = {}
+    for d, (i, own) in enumerate(texts):
+        gone = set()
+        for p in range(len(own)):
+            longest = 0
+            for e, q in places:
+                if (e, q) >= (d, p):
+                    break
+                n = 0
+                while p + n < len(own) and q + n < len(texts[e][1]) and own[p + n] == texts[e][1][q + n]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(map(len, own[p : p + longest])) >= 40:
+                gone |= set(range(p, p + longest))
+        kept = [x for k, x in enumerate(dict(rows)[i].split("\n")) if k not in gone]
+        want[i] = ("\n".join(kept), len(gone), sum(k - 1 not in gone for k in gone))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("place", F.lit(1))
+    got = lines.remove_repeats(df)
+    assert got.columns == ["doc_id", "text", "place", "n_lines", "n_removed", "n_runs"]
+    assert {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in got.collect()} == want
+
+
+def plain_kneserney(texts, order):
+    """Probabilities of the next character by dictionaries of counts."""
+    from collections import Counter, defaultdict
+
+    start = chr(kneserney._START) if kneserney._START < 0x110000 else "\0"
+    padded = [start * (order - 1) + t for t in texts]
+    top = Counter(t[i : i + order] for t in padded for i in range(len(t) - order + 1))
+    counts = {order: top}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    offs, contexts = {}, {}
+    for m, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        offs[m] = [min(max(k - (k + 1) * y * (b / a if a else 0.5), 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        contexts[m] = defaultdict(list)
+        for g, v in c.items():
+            contexts[m][g[:-1]].append(v)
+
+    def p(context, x):
+        if not context and not counts[1]:
+            return 1 / kneserney.ALPHABET
+        m = len(context) + 1
+        lower = p(context[1:], x) if context else 1 / kneserney.ALPHABET
+        own = contexts[m].get(context)
+        if not own:
+            return lower
+        less = lambda v: offs[m][min(v, 3) - 1]
+        v = counts[m].get(context + x, 0)
+        return ((v - less(v)) if v else 0) / sum(own) + sum(map(less, own)) / sum(own) * lower
+
+    return lambda t: sum(np.log(p((start * (order - 1) + t)[i : i + order - 1], t[i])) for i in range(len(t)))
+
+
+def test_kneserney_equals_plain_counts(spark):
+    trained = [prose(i, 30) for i in range(8)]
+    asked = [(1, prose(3, 30), "en"), (2, prose(90, 20), "de"), (3, "zzz Ω", None), (4, "", "en"), (5, None, "en"), (None, prose(91, 5), "en"), (2, prose(90, 20), "de")]
+    known = kneserney.model(spark.createDataFrame([(t,) for t in trained], "text string"), 3)
+    df = spark.createDataFrame(asked, "doc_id long, text string, lang string")
+    got = sorted((r["n_units"], round(-r["nats"], 4)) for r in kneserney.perplexities(df, known, 3).collect())
+    plain = plain_kneserney(trained, 3)
+    assert [n for n, _ in got] == sorted(len(t or "") for _, t, _ in asked)
+    assert np.allclose([x for _, x in got], [x for _, x in sorted((len(t or ""), round(float(plain(t or "")), 4)) for _, t, _ in asked)], rtol=1e-4, atol=1e-3)
+
+
+def test_quality_keeps_other_columns(spark):
+    rows = [(i, prose(i, 60), "en") for i in range(60)] + [(100, "@@@ %%% ### $$$ " * 20, "en"), (101, None, "en"), (None, "@@@ %%% ### $$$ " * 20, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("limit", F.lit("x")).withColumn("n_units", F.lit(2)).withColumn("rejected", F.lit(3))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    kept = kneserney.keep(df, labels)
+    assert kept.columns == df.columns and {101} <= {r["doc_id"] for r in kept.collect()} and not kept.where("text like '@@@%'").count()
+    none = labels.where("false")
+    assert kneserney.keep(df, none).count() == 63
+
+
+def test_limits_are_quantiles(spark):
+    rows = [("en", i / 1000) for i in range(1, 1001)] + [("de", 5.0), (None, 7.0)]
+    got = {r["lang"]: r["limit"] for r in kneserney.limits(spark.createDataFrame(rows, "lang string, level double")).collect()}
+    assert abs(got["en"] - 0.995) < 2e-4 and abs(got["de"] - 5.0) < 2e-4 and abs(got[None] - 0.997) < 2e-3
+
+
+def test_mixing_equals_plain_raking(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, prose(i, int(rng.integers(5, 90))) + (" | " if i % 5 == 0 else ""), ("en", "de", None)[int(rng.integers(0, 3))], ("s0", "s1", "s2")[int(rng.integers(0, 3))]) for i in range(200)]
+    targets = {"source": {"s0": 0.2, "s1": 0.5, "s2": 0.3}, "lang": {"en": 0.6, "de": 0.3, mixing.NONE: 0.1}, "topic": 0.5}
+    cells = mixing.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), targets, 0.5).toPandas()
+    goals = {m: targets[m] for m in ("source", "lang")}
+    sums = cells.groupby("topic")["tokens"].sum() ** 0.5
+    goals["topic"] = (sums / sums.sum()).to_dict()
+    total, w = cells["tokens"].sum(), np.ones(len(cells))
+    for _ in range(12):
+        for m in ("source", "lang", "topic"):
+            now = (cells["tokens"] * w).groupby(cells[m]).transform("sum")
+            w = w * (cells[m].map(goals[m]) * total / now)
+    assert np.allclose(cells["weight"], w, rtol=2e-3)
+
+
+def test_mixing_tells_of_targets_that_cannot_hold(spark):
+    rows = [(i, prose(i, 20), "en", "s0") for i in range(9)] + [(i, prose(i, 20), "de", "s1") for i in range(10, 19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="targets are missed"):
+        mixing.fit(df, {"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": 1.0})
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(16)
+    x = np.round(rng.standard_normal((300, 12)), 2)
+    x[50:60] = x[40:50]
+    x[7] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5, lists=4, probes=4).collect()
+    for q in range(0, 300, 10):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(300), d)) if i != q][:5]
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [v for _, v, _ in own] == want and [k for k, _, _ in own] == [1, 2, 3, 4, 5]
+        assert np.allclose([s for _, _, s in own], d[want], rtol=0, atol=1e-12)
+
+
+def plain_tree(data: bytes, depth: int):
+    """log10 probability of a byte after a context, by weighting whole contexts over dictionaries."""
+    from collections import Counter
+    from math import lgamma
+
+    padded = bytes(depth) + data + bytes(1)
+    counts = Counter()
+    for i in range(depth, len(padded)):
+        node = 1
+        for j in range(7, -1, -1):
+            for d in range(depth + 1):
+                counts[padded[i - d : i], node, padded[i] >> j & 1] += 1
+            node = 2 * node + (padded[i] >> j & 1)
+    kt = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
+    weighted: dict[tuple[bytes, int], float] = {}
+    share: dict[tuple[bytes, int], float] = {}
+    for d in range(depth, -1, -1):
+        for c, k in {(c, k) for c, k, _ in counts if len(c) == d}:
+            own = kt(counts[c, k, 0], counts[c, k, 1])
+            deeper = sum(v for (e, m), v in weighted.items() if len(e) == d + 1 and m == k and e[1:] == c)
+            weighted[c, k] = own if d == depth else np.logaddexp(own, deeper) - np.log(2)
+            share[c, k] = 1.0 if d == depth else float(np.exp(own - np.log(2) - weighted[c, k]))
+
+    def log10(context: bytes, byte: int) -> float:
+        total, node = 0.0, 1
+        for j in range(7, -1, -1):
+            p, left = 0.0, 1.0
+            for d in range(depth + 1):
+                c = context[depth - d :]
+                if (c, node) not in share:
+                    break
+                n0, n1 = counts[c, node, 0], counts[c, node, 1]
+                p, left = p + left * share[c, node] * (n1 + 0.5) / (n0 + n1 + 1), left * (1 - share[c, node])
+            p += left / 2
+            bit = byte >> j & 1
+            total += np.log10(p if bit else 1 - p)
+            node = 2 * node + bit
+        return total
+
+    return log10
+
+
+def test_contexttree_equals_plain_weighting():
+    data, depth = b"abracadabra, abracadabra; cabbage", 3
+    keys, _ = contexttree.gram_keys([data], depth)
+    tree, plain = contexttree.Tree(*contexttree._runs(keys), depth), plain_tree(data, depth)
+    asked = [*np.unique(keys).tolist(), *(int.from_bytes(x, "big") for x in (b"abrx", b"zzza", b"rac ", b"xbra"))]
+    want = [plain(k.to_bytes(depth + 1, "big")[:depth], k & 255) for k in asked]
+    assert np.allclose(tree.log10(np.array(asked, dtype=np.uint64)), want, atol=1e-4)
+
+
+def test_contexttree_base_score_is_a_plain_count(spark):
+    texts = {i: prose(i, 25).upper() + ("  x\n" if i % 3 else "") for i in range(12)} | {12: "", 13: "Ä b"}
+    out = {r["doc_id"]: r for r in contexttree.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), depth=3).collect()}
+    lower = {i: t.encode().lower().split() for i, t in texts.items()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 1}
+    from collections import Counter
+
+    c = Counter(w for i, own in lower.items() if i not in held for w in [*own, None])
+    n, v = sum(c.values()), len(c)
+    for i, own in lower.items():
+        r = out[i]
+        tokens = [*own, None]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(tokens), sum(c[w] > 0 for w in tokens), n)
+        assert abs(r["base_score"] - sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)) < 1e-9
+
+
+def plain_digest(data: bytes) -> list[int]:
+    """Bucket counts by single steps, quartiles by sorting, codes one by one."""
+    m32 = (1 << 32) - 1
+    k = [int(x) for x in (digest._A, digest._B, digest._C, digest._M)]
+    counts = [0] * digest.BUCKETS
+    for i in range(len(data) - 4):
+        for second, third in ((1, 2), (1, 3), (2, 4)):
+            h = (data[i] * k[0] + data[i + second] * k[1] + data[i + third] * k[2]) & m32
+            h = ((h ^ (third * 0x51ED27)) * k[3]) & m32
+            counts[(((h ^ (h >> 15)) * k[0]) & m32) >> 25] += 1
+    q1, q2, q3 = (sorted(counts)[i * digest.BUCKETS // 4 - 1] for i in (1, 2, 3))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    head = [zlib.crc32(data) & 255, min(255, int(np.log1p(len(data)) * 8)), (q1 * 15 // max(q3, 1)) << 4 | q2 * 15 // max(q3, 1)]
+    return head + [sum(c << 2 * j for j, c in enumerate(codes[i : i + 4])) for i in range(0, len(codes), 4)]
+
+
+def plain_likeness(a: list[int], b: list[int]) -> float:
+    score = (a[0] != b[0]) + min(12, abs(a[1] - b[1])) + sum(min(12, abs((a[2] >> s & 15) - (b[2] >> s & 15))) for s in (0, 4))
+    score += sum((0, 1, 2, 6)[abs((x >> s & 3) - (y >> s & 3))] for x, y in zip(a[3:], b[3:], strict=True) for s in (0, 2, 4, 6))
+    return 1 - score / digest.MOST
+
+
+def test_digest_equals_plain(spark):
+    rows = [(1, prose(1, 200)), (2, prose(1, 199) + " other"), (3, prose(2, 200)), (4, ""), (5, None), (6, "é" * 30)]
+    got = {r["doc_id"]: r for r in digest.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [t or "" for _, t in rows]
+    for k, (i, _) in enumerate(rows):
+        t, n = texts[k], texts[(k + 1) % len(rows)]
+        own, after, cut = (plain_digest(x.encode()) for x in (t, n, t[: len(t) - len(t) // 2] + n[: len(t) // 2]))
+        assert got[i]["fingerprint"] == bytes(own).hex() and got[i]["edited_fingerprint"] == bytes(cut).hex()
+        assert abs(got[i]["near_edited"] - plain_likeness(own, cut)) < 1e-12 and abs(got[i]["near_next"] - plain_likeness(own, after)) < 1e-12
+    assert got[1]["near_next"] > 0.8 > got[2]["near_next"]
