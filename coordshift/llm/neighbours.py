@@ -180,12 +180,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int | None = N
             yield batch(arrow_schema(probed), near.ravel().astype(np.int32), np.repeat(b.column("vec_id").to_numpy(), probes), [r for r in raw for _ in range(probes)])
 
     index = checkpointed(vectors.mapInArrow(code, coded))
-    counts = index.groupBy("list").count().collect()  # one row for each centre at most
-    cuts = {r["list"]: -(-r["count"] // BLOCK) for r in counts}
-    many = [(c, b) for c, b in cuts.items() if b > 1]
-    blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for cb in many for v in cb)), F.col("list")), F.lit(1)) if many else F.lit(1)
-    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    asked = vectors.where(is_query).mapInArrow(probe, probed).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    # one row for each centre at most
+    cuts = F.broadcast(checkpointed(index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))
+    index = index.join(cuts, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    asked = vectors.where(is_query).mapInArrow(probe, probed).join(cuts, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = "query_id long, vec_id long, score double"
 
     def look(key: tuple, own: pa.Table, wanted: pa.Table) -> pa.Table:
