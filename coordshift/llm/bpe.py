@@ -40,8 +40,11 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 #: White space to str.split(), but not to the file's pattern.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-#: Chunks that a worker remembers.
-REMEMBERED = 200_000
+#: Chunks that a worker remembers, of at most so many characters each.
+REMEMBERED, LONGEST = 200_000, 200
+#: What the file has to ask for, as this module does just that (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _NEVER = 1 << 30
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -83,6 +86,11 @@ class Vocabulary:
         model = spec["model"]
         if model.get("end_of_word_suffix") != END:
             raise ValueError("a vocabulary with word ends is needed")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if spec.get("normalizer") != NORMALIZER or [x.get("type") for x in steps] != ["Split", "ByteLevel"] or steps[0] != SPLITTER or steps[1].get("add_prefix_space") or steps[1].get("use_regex"):
+            raise ValueError("the file's normaliser or splitter isn't the one that is known here")
+        if spec.get("decoder") or spec.get("post_processor") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("the file has a decoder or model options that aren't known here")
         self.ids: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
@@ -308,6 +316,10 @@ def encode(docs: DataFrame, vocabulary_json: str, ids: bool = True, decoded: boo
                 coded.append(raw if ids else hashlib.sha256(raw).hexdigest())
                 plain.append(text.decode() if decoded else hashlib.sha256(text).hexdigest())
             yield batch(schema, b.column("doc_id"), counts, coded, plain)
+            if any(len(c) > LONGEST for c in new):
+                for kept in (known, words):
+                    for c in [c for c in kept if len(c) > LONGEST]:
+                        del kept[c]
 
     return document_text(docs).mapInArrow(run, names)
 
