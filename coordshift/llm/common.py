@@ -175,10 +175,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges are stars.
     A step is an aggregation (combined before the shuffle) and a join (which
-    adaptive execution splits where a node is hot); each round is written to
-    the checkpoint folder. Nodes without edges aren't returned.
+    adaptive execution splits where a node is hot); each round is written as a
+    table, so that the optimizer's size estimates don't grow from round to
+    round. Nodes without edges aren't returned.
     """
-    edges = checkpointed(edges.where("a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct())
+    edges = written(edges.where("a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "edges")
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -188,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         small = small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select("m", F.col("a").alias("b")))
-        new = checkpointed(small.distinct())
+        new = written(small.distinct(), "edges")
         # done when no node has two lower neighbours, or lower and higher ones
         roles = new.selectExpr("stack(2, a, 0, b, 1) as (node, low)")
         if roles.groupBy("node").agg(F.sum("low").alias("n"), F.min("low").alias("root")).where("n > 1 or (n = 1 and root = 0)").isEmpty():
