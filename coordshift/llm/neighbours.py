@@ -9,8 +9,16 @@ its planes share with them. The scalars make the estimate unbiased and give a
 bound of its error; every vector whose lower bound of the distance isn't above
 the k-th least upper bound is measured exactly, in double precision.
 
-Lists with many vectors are cut into blocks, each a task of its own; every
-block returns its k nearest at most.
+A query looks into its ``FIRST`` nearest lists, and then into every other list
+that can hold a nearer vector than the k-th found so far: one whose centre is
+no farther than that distance and the length of the list's longest residual.
+No list is given up, so what is missed comes from the codes' bounds alone,
+whatever the number of vectors: lists save work where vectors have clusters,
+and where they don't, the codes of all lists are read.
+
+Small lists are packed to blocks of about ``BLOCK`` vectors, large ones cut to
+several; a block is a task, a query is sent to a block once, and every block
+returns its k nearest at most.
 
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do null ids; ties go to
@@ -27,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordshift.llm.common import arrow_schema, batch, checkpointed, table
+from coordshift.llm.common import arrow_schema, batch, checkpointed, mixed, table
 
 #: Vectors that the centres are fitted on.
 SAMPLE = 20_000
-#: Vectors in one block of a list.
+#: Vectors in one block of lists.
 BLOCK = 20_000
+#: Lists that a query looks into before the others are judged.
+FIRST = 8
 #: Width of the error bound in standard deviations.
 SIGMAS = 3.0
 PLANES = 8
@@ -136,7 +146,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype="<f8").reshape(-1, dim)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int | None = None, probes: int | None = None) -> DataFrame:
+def _blocks_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each list, small lists packed together."""
+    first, cuts, block, held = np.zeros(len(counts), dtype=np.int64), np.ones(len(counts), dtype=np.int64), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if held and held + n > BLOCK:
+            block, held = block + 1, 0
+        first[i], cuts[i] = block, max(1, -(-n // BLOCK))
+        held += n
+        if cuts[i] > 1:
+            block, held = block + int(cuts[i]), 0
+    return first, cuts
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int | None = None, probes: int = FIRST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by Euclidean distance."""
     spark = rows.sparkSession
     vectors = valid_vectors(rows)
@@ -151,9 +174,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int | None = N
         sample = np.array([r[0] for r in vectors.select("v").limit(SAMPLE).collect()])
     dim = sample.shape[1]
     lists = lists or int(np.clip(np.sqrt(n) / 2, 1, 65_536))
-    probes = min(probes or int(64 + 4 * np.sqrt(lists)), lists)
     centres, turn = centres_of(sample, min(lists, len(sample))), rotation(dim)
-    probes = min(probes, len(centres))
     model = spark.sparkContext.broadcast((centres, turn))
     coded = "list int, vec_id long, codes binary, length double, match double, raw binary"
 
@@ -167,35 +188,82 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, lists: int | None = N
             codes, length, match = encode(x - centres[near], turn)
             yield batch(arrow_schema(coded), near.astype(np.int32), b.column("vec_id"), [c.tobytes() for c in codes], length, match, [v.tobytes() for v in x])
 
-    probed = "list int, query_id long, raw binary"
+    index = checkpointed(vectors.mapInArrow(code, coded))
+    # one row for each centre at most
+    known = index.groupBy("list").agg(F.count("*").alias("n"), F.max("length").alias("far")).collect()
+    counts, reach = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), -np.inf)
+    for r in known:
+        counts[r["list"]], reach[r["list"]] = r["n"], r["far"]
+    layout = spark.sparkContext.broadcast((*_blocks_of(counts), reach))
+    dealt = "block long, " + coded
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, cuts, _ = layout.value
+        for b in batches:
+            own = b.column("list").to_numpy()
+            block = first[own] + (mixed(b.column("vec_id").to_numpy().astype(np.uint64)) % cuts[own].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block), *b.columns], schema=arrow_schema(dealt))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = "block long, query_id long, raw binary, lists binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without a column kth, the nearest lists; with it, those others that may hold a nearer vector."""
         centres, _ = model.value
+        first, cuts, reach = layout.value
         for b in batches:
             if not b.num_rows:
                 continue
             x = np.stack(b.column("v").to_numpy(zero_copy_only=False))
-            near = nearest(x, centres, probes)
-            raw = [v.tobytes() for v in x]
-            yield batch(arrow_schema(probed), near.ravel().astype(np.int32), np.repeat(b.column("vec_id").to_numpy(), probes), [r for r in raw for _ in range(probes)])
+            near = nearest(x, centres, min(probes, len(centres)))
+            kth = b.column("kth").to_numpy() if "kth" in b.schema.names else None
+            out: list[tuple[int, int, bytes, bytes]] = []
+            for i, (name, v) in enumerate(zip(b.column("vec_id").to_pylist(), x, strict=True)):
+                wanted = near[i]
+                if kth is not None:
+                    far = np.sqrt(((centres - v) ** 2).sum(axis=1))
+                    wanted = np.setdiff1d(np.flatnonzero(far - reach <= kth[i] * (1 + 1e-9) + 1e-9), near[i])
+                places = first[wanted]
+                for block in np.unique(places).tolist():
+                    here = wanted[places == block].astype("<i4")
+                    # a list of many blocks shares them with no other
+                    out += [(block + c, name, v.tobytes(), here.tobytes()) for c in range(int(cuts[here].max()))]
+            if out:
+                yield batch(arrow_schema(asked), *([o[i] for o in out] for i in range(4)))
 
-    index = checkpointed(vectors.mapInArrow(code, coded))
-    # one row for each centre at most
-    cuts = F.broadcast(checkpointed(index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))
-    index = index.join(cuts, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = vectors.where(is_query).mapInArrow(probe, probed).join(cuts, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = "query_id long, vec_id long, score double"
 
-    def look(key: tuple, own: pa.Table, wanted: pa.Table) -> pa.Table:
+    def look(own: pa.Table, wanted: pa.Table) -> pa.Table:
         centres, turn = model.value
         if not own.num_rows or not wanted.num_rows:
             return arrow_schema(found).empty_table()
         codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), dtype="<u8").reshape(own.num_rows, -1)
-        got = search_block(_matrix(wanted.column("raw"), dim), wanted.column("query_id").to_numpy(), _matrix(own.column("raw"), dim), own.column("vec_id").to_numpy(), codes, own.column("length").to_numpy(), own.column("match").to_numpy(), centres[key[0].as_py()], turn, k)
-        return pa.Table.from_batches([batch(arrow_schema(found), *got)])
-
-    near = index.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(look, found)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+        x, ids, which = _matrix(own.column("raw"), dim), own.column("vec_id").to_numpy(), own.column("list").to_numpy()
+        length, match = own.column("length").to_numpy(), own.column("match").to_numpy()
+        queries, names = _matrix(wanted.column("raw"), dim), wanted.column("query_id").to_numpy()
+        asks = [np.frombuffer(w, dtype="<i4") for w in wanted.column("lists").to_pylist()]
+        flat, row = np.concatenate(asks), np.repeat(np.arange(len(asks)), list(map(len, asks)))
+        parts = []
+        for one in np.unique(which).tolist():
+            q, at = row[flat == one], np.flatnonzero(which == one)
+            if len(q):
+                parts.append(search_block(queries[q], names[q], x[at], ids[at], codes[at], length[at], match[at], centres[one], turn, k))
+        if not parts:
+            return arrow_schema(found).empty_table()
+        query, vec, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((vec, score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        head = np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), np.arange(len(query)), 0)) if len(query) else query
+        top = np.arange(len(query)) - head < k
+        return pa.Table.from_batches([batch(arrow_schema(found), query[top], vec[top], score[top])])
+
+    index = index.mapInArrow(deal, dealt)
+    queries = vectors.where(is_query)
+    near = checkpointed(index.groupBy("block").cogroup(queries.mapInArrow(ask, asked).groupBy("block")).applyInArrow(look, found))
+    kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.element_at(F.array_sort(F.collect_list("score")), k)).alias("kth"))
+    # at most k rows of each block a query has looked into
+    judged = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
+    more = index.groupBy("block").cogroup(judged.mapInArrow(ask, asked).groupBy("block")).applyInArrow(look, found)
+    ranked = near.union(more).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -481,7 +481,7 @@ def test_neighbours_equal_brute_force(spark):
     x[50:60] = x[40:50]
     x[7] = x[100]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5, lists=4, probes=4).collect()
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5, lists=4, probes=1).collect()
     for q in range(0, 300, 10):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         want = [i for i in np.lexsort((np.arange(300), d)) if i != q][:5]
@@ -490,6 +490,21 @@ def test_neighbours_equal_brute_force(spark):
         assert np.allclose([s for _, _, s in own], d[want], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize(("lists", "block"), [(1, 50), (40, 50), (40, 10_000)])
+def test_neighbours_recall_does_not_hang_on_lists(spark, monkeypatch, lists, block):
+    """Vectors without clusters, few lists looked into first: recall against brute force stays."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((1500, 24))
+    got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 25 == 0, lists=lists, probes=1).collect()
+    hits = 0
+    for q in range(0, 1500, 25):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 600 and hits >= 0.98 * 600
+
+
 def plain_tree(data: bytes, depth: int):
     """log10 probability of a byte after a context, by weighting whole contexts over dictionaries."""
     from collections import Counter
