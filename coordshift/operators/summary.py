@@ -204,3 +204,18 @@ def sample_pairs(reads: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Rows of a share of the names: mates share a draw, so both stay or go."""
     draw = F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return reads.where(draw < share)
+
+
+def verbose_blocks(summary: DataFrame) -> DataFrame:
+    """chain_id, line_no, value: each block's places in both genomes as text, with its shift and share of equal letters."""
+    here = F.concat(F.col("source"), F.lit(":"), F.col("s_start").cast("string"), F.lit("-"), F.col("s_end").cast("string"))
+    there = F.when(F.col("forward"), F.concat(F.col("d_start").cast("string"), F.lit("-"), F.col("d_end").cast("string"))).otherwise(F.concat(F.col("d_end").cast("string"), F.lit("-"), F.col("d_start").cast("string")))
+    shift = F.when(F.col("forward"), F.col("d_start")).otherwise(F.col("d_end")) - F.col("s_start")
+    value = F.concat(here, F.lit("=>"), F.col("dest"), F.lit(":"), there, F.lit(" ("), shift.cast("string"), F.lit(")\t"), F.coalesce(F.col("hdist").cast("string"), F.lit("")))
+    return summary.select("chain_id", "line_no", value.alias("value"))
+
+
+def block_regions(summary: DataFrame, side: str = "source") -> DataFrame:
+    """contig, start, end of the blocks, by source or dest."""
+    p = "s" if side == "source" else "d"
+    return summary.select(F.col(side).alias("contig"), F.col(f"{p}_start").alias("start"), F.col(f"{p}_end").alias("end"))

@@ -199,3 +199,21 @@ def to_bed(variants: DataFrame) -> DataFrame:
     each = variants.select("chrom", "pos", F.length("ref").alias("r"), F.explode("alts").alias("alt")).withColumn("a", F.length("alt"))
     lost = F.col("r") > F.col("a")
     return merge(each.select(F.col("chrom").alias("contig"), (F.col("pos") + lost.cast("long")).alias("start"), (F.col("pos") + F.greatest("r", "a")).alias("end")))
+
+
+def lift_from_file(spark, path: str, sample: str = "", haplotype: int = 0) -> DataFrame:
+    """The accepted variants of a file, of the haplotype (0 or 1) of a sample, or of all records without one."""
+    from coordshift.sources.text import read_vcf
+
+    if haplotype not in (0, 1):
+        raise ValueError("the haplotype is 0 or 1")
+    return accepted(read_vcf(spark, path, sample, haplotype))
+
+
+def write_index(kept: DataFrame, path: str) -> None:
+    pieces(kept).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark, path: str) -> DataFrame:
+    """``pieces`` as ``write_index`` wrote them, for ``Lookup``."""
+    return spark.read.parquet(path)

@@ -4,7 +4,7 @@ import pytest
 
 from coordshift.functions.realign import Settings
 from coordshift.operators import summary
-from coordshift.sources import sinks, text
+from coordshift.sources import bam, sinks, text
 
 
 def test_chain(spark, tmp_path):
@@ -97,3 +97,27 @@ def test_sam_round_trip_and_order(spark, tmp_path):
     assert sorted((r["name"], r["seq"], r["qual"]) for r in text.read_fastq(spark, str(tmp_path / "fq")).collect()) == [("r0", "AC", "BB"), ("r1", "TCGT", "III!"), ("r2", "ACGT", "IIII")]
     sinks.write_indexed(rows, str(tmp_path / "ix"), order)
     assert [r["qname"] for r in sinks.read_region(spark, str(tmp_path / "ix"), "a", 0, 9).collect()] == ["r1"]
+
+
+def test_bam(spark, tmp_path):
+    """Two records, written by hand in two compressed blocks cut inside a record."""
+    import gzip
+    import struct
+
+    def one(name, flag, ref, pos, cigar, seq, qual, tags):
+        name = name.encode() + b"\0"
+        ops = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar)
+        codes = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 60, 0, len(cigar), flag, len(seq), -1, -1, 7) + name + ops + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + bytes(qual) + tags
+        return struct.pack("<i", len(body)) + body
+
+    text = b"@SQ\tSN:c\tLN:99\n"
+    raw = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 1) + struct.pack("<i", 2) + b"c\0" + struct.pack("<i", 99)
+    raw += one("r", 16, 0, 4, [(3, "M"), (2, "S")], "ACGTN", [0, 1, 2, 3, 40], b"NMC\x02XZZab\0tpBc" + struct.pack("<i", 2) + b"\xff\x03")
+    raw += one("u", 4, -1, -1, [], "", [], b"")
+    (tmp_path / "x.bam").write_bytes(gzip.compress(raw[:70]) + gzip.compress(raw[70:]))
+    got = {r["qname"]: r for r in bam.read_bam(spark, str(tmp_path / "x.bam")).collect()}
+    assert tuple(got["r"])[:11] == ("r", 16, "c", 4, 60, "3M2S", "*", -1, 7, "ACGTN", "!\"#$I")
+    assert {k: tuple(v) for k, v in got["r"]["tags"].items()} == {"NM": ("i", "2"), "XZ": ("Z", "ab"), "tp": ("B", "c,-1,3")}
+    assert tuple(got["u"])[:11] == ("u", 4, "*", -1, 60, "*", "*", -1, 7, "*", "*")
+    assert bam.read_bam_header(spark, str(tmp_path / "x.bam")) == ["@SQ\tSN:c\tLN:99"]
