@@ -354,6 +354,17 @@ def test_passages_equal_brute_force_on_changed_copies(spark):
     assert got <= {(2000 + i, 1000 + i) for i in range(80)} and len(want & got) >= 0.9 * len(want) and len(want) > 60
 
 
+def test_passages_of_one_common_source(spark, monkeypatch):
+    """Many documents have changed copies of one passage: its text is dealt to several shards."""
+    monkeypatch.setattr(passages, "FEW", 3)
+    monkeypatch.setattr(passages, "HOT", 10**9)
+    rng = np.random.default_rng(19)
+    p = varied(rng, 70)
+    rows = [(1, p)] + [(i, varied(rng, 20) + [w if rng.random() > 0.05 else f"c{i}" for w in p] + varied(rng, 20)) for i in range(2, 40)]
+    got = found_spans(spark, rows)
+    assert {r["doc_id"] for r in got} == set(range(2, 40)) and all(r["similarity"] >= 0.8 for r in got)
+
+
 def test_seeds_of_long_texts(monkeypatch):
     rng = np.random.default_rng(13)
     words = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 3, 8, 500, 77)] + [np.zeros(60, dtype=np.uint64)]
