@@ -170,6 +170,22 @@ class LookupTable:
         return out
 
 
+#: Keys that are sent to every executor at most.
+HOT = 10_000
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with ``right``, one row a key, whose column n counts the key's rows in ``left`` (``total`` in all); n is dropped.
+
+    Keys with more than one part in ``HOT`` of the rows, ``HOT`` at most, are
+    sent out; so no key of the shuffled rest is a large part of a task.
+    """
+    hot = F.broadcast(right.where(F.col("n") * HOT > total).drop("n"))
+    cold = right.where(F.col("n") * HOT <= total).drop("n")
+    rest = left.join(hot.select(*keys), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for undirected ``edges`` a, b (long).
 

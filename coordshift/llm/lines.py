@@ -19,7 +19,8 @@ shortest one that ends with the line itself lies in the run.) So one long line
 goes as a run of many short ones does.
 
 Intervals are counted before their shuffle, and only names that occur again
-are joined back; adaptive execution splits the join where one name is hot.
+are joined back; the few common names are sent out instead, so no name is one
+task.
 
 Defined cases: null text stays null and takes no part, empty text stays empty;
 a text loses its repeated lines and their line breaks, all lines if all are
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from coordshift.llm.common import arrow_schema, batch, checkpointed, mixed, slices, table
+from coordshift.llm.common import arrow_schema, batch, checkpointed, joined_by, mixed, slices, table
 
 LEAST = 40
 RESULTS = ("n_lines", "n_removed", "n_runs")
@@ -105,8 +106,10 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     found = checkpointed(rows.mapInArrow(cut, names))
     at = F.struct("doc", "tie", "start")
-    intervals = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("a", "b", "first")
-    later = found.join(intervals, ["a", "b"]).where(at > F.col("first"))
+    total = found.count()
+    intervals = checkpointed(found.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").select("a", "b", "first", "n"))
+    met = joined_by(found, intervals, ["a", "b"], total)
+    later = met.where(at > F.col("first"))
     return later.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
