@@ -45,14 +45,5 @@ UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 
-OP2_SQL = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM q JOIN v ON q.vec_id <> v.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op5_lines": OP5_SQL}
