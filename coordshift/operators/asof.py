@@ -11,8 +11,6 @@ before it. The places found are then joined back to the points.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +21,8 @@ WIDTH = 1 << 14
 SEARCHED = 1_000_000
 FIELDS = ("idx", "source_start", "source_end", "target", "off", "strand", "next_source_start", "next_source_end", "next_strand", "next_target", "next_off", "target_run", "bad", "next_bad")
 _KINDS = {"target": "string", "next_target": "string", "strand": "boolean", "next_strand": "boolean"}
+#: What of the interval before a place is used.
+LAST = ("idx", "target_run")
 _STRUCT = "struct<" + ",".join(f"{c}:{_KINDS.get(c, 'bigint')}" for c in FIELDS) + ">"
 
 
@@ -44,31 +44,23 @@ def with_steps(index: DataFrame, allowed: int | None = None) -> DataFrame:
     return counted.withColumn("next_bad", F.col("bad") + F.col("__step")).drop("__step")
 
 
-@dataclass
-class Contig:
-    """Sorted arrays of one contig; ``first`` is the row of its first interval."""
-
-    length: int
-    first: int
-    starts: np.ndarray
-    ends: np.ndarray
-    upto: np.ndarray
-    step_ends: np.ndarray
-    shifts: np.ndarray
-    kept: np.ndarray
-
-
 class Search:
-    """The index as sorted arrays, made once for several joins."""
+    """The index as sorted arrays, made once for several joins.
+
+    By contig: length, first row, starts, sorted ends, last interval of each
+    end, ends of intervals, shifts to the next one, and whether it has the same
+    target. Plain tuples, so executors need nothing else to read them.
+    """
 
     def __init__(self, spark, table: pa.Table):
-        order = np.lexsort((table.column("idx").to_numpy(), table.column("contig").to_numpy(zero_copy_only=False).astype(str)))
-        table = table.take(pa.array(order))
+        coded = table.column("contig").combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((table.column("idx").to_numpy(), codes))
+        table, codes, listed = table.take(pa.array(order)), codes[order], coded.dictionary.to_pylist()
         rows = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in FIELDS], names=list(FIELDS))
-        names = table.column("contig").to_numpy(zero_copy_only=False).astype(str)
-        heads = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, dtype=int)
+        heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, dtype=int)
         contigs = {}
-        for a, z in zip(heads.tolist(), np.append(heads, len(names))[1:].tolist(), strict=True):
+        for a, z in zip(heads.tolist(), np.append(heads, len(codes))[1:].tolist(), strict=True):
             part = table.slice(a, z - a)
             ends = part.column("source_end").to_numpy()
             by_end = np.argsort(ends, kind="stable")
@@ -77,15 +69,16 @@ class Search:
             forward = own["strand"].astype(bool)
             shifts = np.where(forward, next_["off"] - own["off"], own["off"] + own["source_start"] + ends - next_["off"] - next_["source_start"] - next_["source_end"])
             kept = (own["target"] == next_["target"]) & (np.arange(z - a) < z - a - 1)
-            contigs[str(names[a])] = Contig(int(max(part.column("s_len").to_pylist())), a, np.maximum(own["source_start"], 1), ends[by_end], np.maximum.accumulate(by_end), ends, shifts, kept)
-        self.shared = spark.sparkContext.broadcast((contigs, rows))
+            contigs[listed[codes[a]]] = (int(part.column("s_len").to_numpy().max()), a, np.maximum(own["source_start"], 1), ends[by_end], np.maximum.accumulate(by_end), ends, shifts, kept)
+        last = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in LAST], names=list(LAST))
+        self.shared = spark.sparkContext.broadcast((contigs, rows, last))
 
     def __call__(self, contig: Column, pos: Column) -> Column:
         shared = self.shared
 
-        @F.arrow_udf(f"struct<sidx:bigint,eidx:bigint,s:{_STRUCT},e:{_STRUCT}>")
+        @F.arrow_udf(f"struct<sidx:bigint,eidx:bigint,s:{_STRUCT},e:struct<idx:bigint,target_run:bigint>>")
         def find(names: pa.Array, places: pa.Array) -> pa.Array:
-            contigs, rows = shared.value
+            contigs, rows, last = shared.value
             n = len(names)
             at = places.fill_null(-1).to_numpy(zero_copy_only=False)
             sidx, eidx = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
@@ -93,17 +86,17 @@ class Search:
             coded = names.dictionary_encode()
             which = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             for i, name in enumerate(coded.dictionary.to_pylist()):
-                own = contigs.get(name)
-                if own is None:
+                if name not in contigs:
                     continue
-                rows_ = np.flatnonzero((which == i) & (at >= 0) & (at < own.length))
+                length, first, starts, ends, upto, *_ = contigs[name]
+                rows_ = np.flatnonzero((which == i) & (at >= 0) & (at < length))
                 p = at[rows_]
-                sidx[rows_] = np.searchsorted(own.starts, p, side="right") - 1
-                passed = np.searchsorted(own.ends, p, side="left")
-                eidx[rows_] = np.where(passed > 0, own.upto[np.maximum(passed - 1, 0)], 0)
-                base[rows_], known[rows_] = own.first, True
+                sidx[rows_] = np.searchsorted(starts, p, side="right") - 1
+                passed = np.searchsorted(ends, p, side="left")
+                eidx[rows_] = np.where(passed > 0, upto[np.maximum(passed - 1, 0)], 0)
+                base[rows_], known[rows_] = first, True
             s = rows.take(pa.array(base + sidx, mask=sidx < 0))
-            e = rows.take(pa.array(base + eidx, mask=~known))
+            e = last.take(pa.array(base + eidx, mask=~known))
             return pa.StructArray.from_arrays([pa.array(sidx), pa.array(eidx), s, e], names=["sidx", "eidx", "s", "e"])
 
         return find(contig, pos.cast("long"))
@@ -115,16 +108,17 @@ class Search:
 
         @F.arrow_udf("array<struct<bp:bigint,diff:bigint>>")
         def find(names: pa.Array, firsts: pa.Array, lasts: pa.Array, places: pa.Array) -> pa.Array:
-            contigs, _ = shared.value
+            contigs, *_ = shared.value
             out: list[list[dict] | None] = []
             for name, i, j, p in zip(*(x.to_pylist() for x in (names, firsts, lasts, places)), strict=True):
                 own = contigs.get(name) if None not in (i, j, p) else None
                 if own is None:
                     out.append(None)
                     continue
-                at = np.arange(max(i, 0), min(j + 1, len(own.kept)))
-                at = at[own.kept[at] & (own.step_ends[at] > p)]
-                out.append([{"bp": b, "diff": d} for b, d in zip((own.step_ends[at] - p).tolist(), own.shifts[at].tolist(), strict=True)])
+                *_, ends, shifts, kept = own
+                at = np.arange(max(i, 0), min(j + 1, len(kept)))
+                at = at[kept[at] & (ends[at] > p)]
+                out.append([{"bp": b, "diff": d} for b, d in zip((ends[at] - p).tolist(), shifts[at].tolist(), strict=True)])
             return pa.array(out, pa.list_(pa.struct([("bp", pa.int64()), ("diff", pa.int64())])))
 
         return find(contig, first, last, pos)

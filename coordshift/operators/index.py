@@ -37,9 +37,11 @@ def build_index(intervals: DataFrame) -> DataFrame:
     own = intervals.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     new = F.coalesce(F.lag("target").over(w) != F.col("target"), F.lit(True)).cast("long")
     own = own.withColumn("__new", new)
-    for c in ("source_start", "source_end", "strand", "target", "off"):
-        own = own.withColumn(f"next_{c}", F.lead(c).over(w))
-    return own.withColumn("target_run", F.sum("__new").over(w)).drop("__new")
+    names = ("source_start", "source_end", "strand", "target", "off")
+    own = own.withColumn("__next", F.lead(F.struct(*names)).over(w)).withColumn("target_run", F.sum("__new").over(w))
+    for c in names:
+        own = own.withColumn(f"next_{c}", F.col("__next")[c])
+    return own.drop("__new", "__next")
 
 
 def overlapping(intervals: DataFrame) -> DataFrame:
