@@ -615,3 +615,38 @@ def test_digest_equals_plain(spark):
         assert got[i]["fingerprint"] == bytes(own).hex() and got[i]["edited_fingerprint"] == bytes(cut).hex()
         assert abs(got[i]["near_edited"] - plain_likeness(own, cut)) < 1e-12 and abs(got[i]["near_next"] - plain_likeness(own, after)) < 1e-12
     assert got[1]["near_next"] > got[2]["near_next"]
+
+
+def test_passages_of_common_pieces(spark):
+    """Two documents share a passage whose equal pieces are short and each common to many more, alone and by twos and threes."""
+    rng = np.random.default_rng(20)
+    rows, want, at = [], set(), 0
+    for _ in range(10):
+        pieces = [varied(rng, 11) for _ in range(6)]
+        whole = lambda: [w for p in pieces for w in [*p, f"c{rng.integers(0, 1 << 40)}"]]
+        # six others have any three pieces that follow each other, before, between and after the two
+        some = lambda i: [w for p in pieces[i : i + 3] for w in [*p, f"c{rng.integers(0, 1 << 40)}"]]
+        for k in range(30):
+            own = whole() if k in (12, 24) else some(k % 4)
+            rows.append((at + k, varied(rng, 30) + own + varied(rng, 30)))
+        want.add((at + 24, at + 12))
+        at += 100
+    got = {(r["doc_id"], r["source_id"]) for r in found_spans(spark, rows) if r["similarity"] >= 0.8 and r["n_words"] >= 50}
+    assert got == want
+
+
+@pytest.mark.parametrize(("block", "small"), [(8_192, 48), (8_192, 4), (7, 48)])
+def test_alike_equals_plain_comparison(spark, monkeypatch, block, small):
+    """Each copy of a changed passage among many quotes has a source, however its common seeds are dealt."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    monkeypatch.setattr(passages, "_SMALL", small)
+    rng = np.random.default_rng(21)
+    line, rows = varied(rng, 20), []
+    for i in range(60):
+        rows.append((i, varied(rng, 25 + i % 7) + line + varied(rng, 40)))
+    tail = varied(rng, 40)
+    for i in (15, 42, 58):
+        own = [w if k % 9 else f"c{i}-{k}" for k, w in enumerate(tail)]
+        rows[i] = (i, varied(rng, 30) + line + own + varied(rng, 20))
+    got = found_spans(spark, rows)
+    assert {r["doc_id"] for r in got} == {42, 58} and all(r["source_id"] in (15, 42) and r["n_words"] >= 55 for r in got)
