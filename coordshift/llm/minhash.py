@@ -96,6 +96,11 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float)
     keyed = distinct.where("size > 0").select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "a", "n")
     groups = components(joined_by(keyed, shared, ["key"], total * BANDS).where("node <> a").select("a", F.col("node").alias("b")))
+    return verified(docs, distinct, groups, total, shingle, similarity)
+
+
+def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, total: int, shingle: int, similarity: float) -> DataFrame:
+    """a, b: nodes of similar sets within ``groups`` of candidates (node, component), compared on their whole sets."""
     members = distinct.select("node", "at.doc_id", "at.tie", "size").join(groups, "node")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("size") / VOLUME).alias("blocks"), F.count("*").alias("n"))
     dealt = joined_by(members, blocks, ["component"], total).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
@@ -119,7 +124,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     prints = checkpointed(signatures(docs, shingle))
     known = prints.where("doc_id is not null")
     distinct = checkpointed(known.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
-    groups = components(links(docs, distinct, shingle, similarity))
+    return labelled(prints, distinct, links(docs, distinct, shingle, similarity))
+
+
+def labelled(prints: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``near_duplicates`` of the texts in ``prints``, whose nodes are linked by ``found``."""
+    known = prints.where("doc_id is not null")
+    groups = components(found)
     named = distinct.select("node", "at", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = checkpointed(named)
     firsts = named.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n"))

@@ -206,15 +206,16 @@ def _flips(width: int, count: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def file_under(distinct: DataFrame, words: int, parts: list[list[int]], ts: list[int]) -> DataFrame:
-    """bucket, filed (the part value itself, not one near it), node, fp."""
+def file_under(distinct: DataFrame, words: int, parts: list[list[int]], ts: list[int], sent: int) -> DataFrame:
+    """bucket, filed (the part value itself, not one near it), node, fp (its first ``sent`` words)."""
     schema = arrow_schema("bucket long, filed boolean, node long, fp binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = _bits(_raw(b.column("fp"), words))
+            raw = _raw(b.column("fp"), words)
+            bits, fps = _bits(raw), pa.array([x.tobytes() for x in raw[:, :sent]], pa.binary())
             for number, (part, t) in enumerate(zip(parts, ts, strict=True)):
                 if t < 0:
                     continue
@@ -223,7 +224,7 @@ def file_under(distinct: DataFrame, words: int, parts: list[list[int]], ts: list
                 near = _flips(len(part), t // 2)
                 for i, flip in enumerate(flips):
                     filed = np.full(len(keys), i < len(near))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys ^ flip), pa.array(filed), b.column("node"), b.column("fp")], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys ^ flip), pa.array(filed), b.column("node"), fps], schema=schema)
 
     return distinct.select("node", "fp").mapInArrow(run, "bucket long, filed boolean, node long, fp binary")
 
@@ -275,19 +276,23 @@ def bucket_links(bucket: np.ndarray, block: np.ndarray, filed: np.ndarray, nodes
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, limit: int, words: int = 1) -> DataFrame:
+def links(distinct: DataFrame, limit: int, words: int = 1, width: int | None = None, sent: int | None = None, small: int = 48) -> DataFrame:
     """a, b: nodes of fingerprints that differ in at most ``limit`` bits, enough of them to connect all that are connected.
 
     ``distinct``: node (long), fp (binary), each fingerprint once. Exact when
     the part thresholds sum to ``limit``; a wide fingerprint with a large
     limit has at most as many thresholds of zero as parts, and pairs beyond
     that guarantee are found with a chance that falls with their distance.
+    ``width``: bits of a part. ``sent``: words of a fingerprint that travel
+    and that ``limit`` is meant for; the parts come from all of them.
+    ``small``: fingerprints under one value whose pairs are all given.
     """
+    sent = sent or words
     spark = distinct.sparkSession
     counts = bit_statistics(distinct, words)
     rows, n = counts[-1], 64 * words
     together = counts[:-1].reshape(n, n)
-    width = part_width(rows, n, limit)
+    width = width or part_width(rows, n, limit)
     m = max(1, n // width)
     sizes = [n // m + (i < n % m) for i in range(m)]
     if any(s > 40 for s in sizes):
@@ -295,9 +300,9 @@ def links(distinct: DataFrame, limit: int, words: int = 1) -> DataFrame:
         sizes = [n // m + (i < n % m) for i in range(m)]
     parts = group_bits(together, rows, sizes)
     p = np.diag(together) / max(rows, 1)
-    reach = limit if limit * 8 <= n else min(limit, m - 1)
+    reach = limit if limit * 8 <= n and sent == words else m - 1 if sent < words else min(limit, m - 1)
     ts = allocate(parts, p, rows, reach)
-    filed = file_under(distinct, words, parts, ts)
+    filed = file_under(distinct, words, parts, ts, sent)
     kinds = arrow_schema("bucket long, n long")
 
     def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +332,7 @@ def links(distinct: DataFrame, limit: int, words: int = 1) -> DataFrame:
         def compare(parts_: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts_)
             got = [t.column(c).to_numpy() for c in ("bucket", "block", "filed", "node")]
-            a, b = bucket_links(got[0], got[1], got[2].astype(bool), got[3], _raw(t.column("fp").combine_chunks(), words), limit)
+            a, b = bucket_links(got[0], got[1], got[2].astype(bool), got[3], _raw(t.column("fp").combine_chunks(), sent), limit, small)
             low, high = np.minimum(a, b), np.maximum(a, b)
             pairs = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), dtype=np.int64)
             return batch(out, pairs[:, 0], pairs[:, 1])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordshift.llm import bpe, kneserney, lines, minhash, mixing
+from coordshift.llm import bpe, kneserney, lines, mixing, nearcopies
 from coordshift.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are in different groups and all stay, as do all rows without a doc_id.
     """
     docs = docs.select(*COLUMNS).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = minhash.near_duplicates(docs, shingle=5, similarity=0.8)
+    groups = nearcopies.near_duplicates(docs, shingle=5, similarity=0.8)
     keep = groups.where("doc_id = component_id and tie = first_tie").select("doc_id", "tie").distinct()
     kept = docs.join(keep, ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
     return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))

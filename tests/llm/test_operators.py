@@ -650,3 +650,33 @@ def test_alike_equals_plain_comparison(spark, monkeypatch, block, small):
         rows[i] = (i, varied(rng, 30) + line + own + varied(rng, 20))
     got = found_spans(spark, rows)
     assert {r["doc_id"] for r in got} == {42, 58} and all(r["source_id"] in (15, 42) and r["n_words"] >= 55 for r in got)
+
+
+@pytest.mark.parametrize("size", [None, 10**8])
+def test_near_dedup_groups_come_from_the_pigeonhole(spark, docs, empty, monkeypatch, size):
+    """Groups equal brute force on whole sets, also with parts as wide as for many rows; the pipeline's come this way."""
+    import corpus_pipeline
+    from coordshift.llm import nearcopies
+
+    rng, rows, called = np.random.default_rng(22), [], []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: called.append(a) or links(*a, **k))
+    for i in range(60):
+        words = varied(rng, int(rng.integers(5, 320)))
+        rows.append((10 * i, " ".join(words)))
+        # copies down to a similarity of about 0.8, changed in a block at the end
+        for j in range(1, 4):
+            c = max(1, int((len(words) - 4) * rng.uniform(0.02, 0.12)))
+            rows.append((10 * i + j, " ".join(words[:-c] + varied(rng, c))))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    up = {i: i for i in sets}
+    for _ in range(4):
+        for i, a in sets.items():
+            for j in range(i // 10 * 10, i // 10 * 10 + 4):
+                if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j])
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_duplicates(df, rows=size).collect()} == up
+    if size is None:
+        assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == set(up.values()) and len(called) == 2
+        assert nearcopies.near_duplicates(docs).count() == 13 and nearcopies.near_duplicates(empty).count() == 0
