@@ -6,9 +6,9 @@ t satisfy sum(t + 1) = limit + 1, then some part differs in at most its own t
 bits. The thresholds are unequal: dynamic programming picks those with the
 least estimated work. Per part, every fingerprint is filed under its own part
 value and, for t > 0, under the values near it; fingerprints that meet under a
-value are compared in full. Within a value only a spanning forest of links is
-emitted, never all pairs, and values with very many fingerprints are compared
-block by block in separate tasks.
+value are compared in full. Only a spanning forest of links is emitted for the
+values compared together, never all pairs, and values with very many
+fingerprints are compared block by block in separate tasks.
 
 Defined cases: null and empty texts have the zero fingerprint and are linked
 like others; equal texts have equal fingerprints; rows with a null doc_id get
@@ -19,7 +19,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from coordshift.llm.suffix import pack, unpack
 SEED = 42
 #: Fingerprints under one part value that one task compares with each other.
 BLOCK = 20_000
+#: Part of ``BLOCK`` that a value's count may miss, words of fingerprints counted together, and links held before they are made a forest.
+_MISSED, _COUNTED, _LINKS = 0.25, 1 << 19, 1 << 20
 _BITS = 1 << 12
 #: Rows of the matrix of bit counts that travel together, and groups that each strip is first added in.
 _STRIP = 32
@@ -249,13 +251,32 @@ def _spanning(fps: np.ndarray, filed: np.ndarray, nodes: np.ndarray, limit: int)
     return left, right
 
 
+def forest(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the least node of each component of the links left, right to its other nodes."""
+    if not left:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    nodes, ids = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    a, b = ids[: len(ids) // 2], ids[len(ids) // 2 :]
+    up = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(up[a], up[b])
+        np.minimum.at(up, up[a], low)
+        np.minimum.at(up, up[b], low)
+        while (up[up] != up).any():
+            up = up[up]
+        open_ = up[a] != up[b]
+        a, b = a[open_], b[open_]
+    rest = np.flatnonzero(up != np.arange(len(up)))
+    return nodes[up[rest]], nodes[rest]
+
+
 def bucket_links(bucket: np.ndarray, block: np.ndarray, filed: np.ndarray, nodes: np.ndarray, fps: np.ndarray, limit: int, small: int = 48):
-    """Links within each run of equal (bucket, block): every close pair of small runs, spanning stars of large ones."""
+    """A spanning forest of the close pairs within runs of equal (bucket, block); runs up to ``small`` are compared side by side."""
     change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
     starts = np.concatenate([[0], change]) if len(bucket) else np.zeros(0, dtype=int)
     sizes = np.diff(np.append(starts, len(bucket)))
     any_filed = np.logical_or.reduceat(filed, starts) if len(starts) else np.zeros(0, dtype=bool)
-    left, right = [], []
+    left, right, fresh = [], [], 0
     size_at, live_at, end_at = (np.repeat(x, sizes) for x in (sizes, any_filed, starts + sizes))
     at = np.flatnonzero((size_at > 1) & (size_at <= small) & live_at)
     for gap in range(1, small):
@@ -266,14 +287,32 @@ def bucket_links(bucket: np.ndarray, block: np.ndarray, filed: np.ndarray, nodes
         near = np.bitwise_count(fps[ok] ^ fps[ok + gap]).sum(axis=1, dtype=np.uint16) <= limit
         left.append(nodes[ok[near]])
         right.append(nodes[ok[near] + gap])
+        fresh += len(left[-1])
+        if fresh > _LINKS:
+            a, b = forest(left, right)
+            left, right, fresh = [a], [b], 0
     for g in np.flatnonzero((sizes > small) & any_filed):
         own = slice(starts[g], starts[g] + sizes[g])
         a, b = _spanning(fps[own], filed[own], nodes[own], limit)
         left += a
         right += b
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    return forest(left, right)
+
+
+def crowding(raw: np.ndarray, parts: list[list[int]], ts: list[int], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Part values that more than ``share`` of the fingerprints ``raw`` are filed under, and how many are."""
+    bits, found, counts = _bits(raw), [], []
+    for number, (part, t) in enumerate(zip(parts, ts, strict=True)):
+        if t >= 0:
+            keys, own = np.unique(part_keys(bits, part, number), return_counts=True)
+            flips = _flips(len(part), (t + 1) // 2)
+            if len(flips) > 1:
+                keys, at = np.unique(keys[:, None] ^ flips, return_inverse=True)
+                own = np.bincount(at.ravel(), np.repeat(own, len(flips))).astype(np.int64)
+            many = own > share * len(raw)
+            found.append(keys[many])
+            counts.append(own[many])
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def links(distinct: DataFrame, limit: int, words: int = 1, width: int | None = None, sent: int | None = None, small: int = 48) -> DataFrame:
@@ -285,7 +324,12 @@ def links(distinct: DataFrame, limit: int, words: int = 1, width: int | None = N
     that guarantee are found with a chance that falls with their distance.
     ``width``: bits of a part. ``sent``: words of a fingerprint that travel
     and that ``limit`` is meant for; the parts come from all of them.
-    ``small``: fingerprints under one value whose pairs are all given.
+    ``small``: fingerprints under one value whose pairs are compared side by side.
+
+    A value that more than ``BLOCK`` fingerprints are filed under has more than
+    ``_MISSED`` of its share in some piece of the table. Counts are only sent
+    from such pieces: they miss ``_MISSED * BLOCK`` at most, which is added to
+    each, and no value that is crowded goes without blocks.
     """
     sent = sent or words
     spark = distinct.sparkSession
@@ -304,18 +348,19 @@ def links(distinct: DataFrame, limit: int, words: int = 1, width: int | None = N
     ts = allocate(parts, p, rows, reach)
     filed = file_under(distinct, words, parts, ts, sent)
     kinds = arrow_schema("bucket long, n long")
+    share, missed, most = _MISSED * BLOCK / max(rows, 1), int(_MISSED * BLOCK), _COUNTED // max(words, 8)
 
     def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                bits = _bits(_raw(b.column("fp"), words))
-                for number, (part, t) in enumerate(zip(parts, ts, strict=True)):
-                    if t >= 0:
-                        keys, own = np.unique(part_keys(bits, part, number), return_counts=True)
-                        for flip in _flips(len(part), (t + 1) // 2):
-                            yield batch(kinds, keys ^ flip, own)
-
-    full = distinct.select("fp").mapInArrow(crowded, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")) if rows > BLOCK else None
+        piece, waiting = [], 0
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                piece.append(_raw(b.column("fp"), words))
+                waiting += b.num_rows
+            if piece and (b is None or waiting >= most):
+                yield batch(kinds, *crowding(np.concatenate(piece), parts, ts, share))
+                piece, waiting = [], 0
+
+    full = distinct.select("fp").mapInArrow(crowded, "bucket long, n long").groupBy("bucket").agg((F.sum("n") + missed).alias("n")) if rows > BLOCK else None
     many = None if full is None else checkpointed(full.where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     if many is None or many.isEmpty():
         filed = filed.withColumn("block", F.lit(0).cast("long"))
@@ -333,9 +378,7 @@ def links(distinct: DataFrame, limit: int, words: int = 1, width: int | None = N
             t = pa.Table.from_batches(parts_)
             got = [t.column(c).to_numpy() for c in ("bucket", "block", "filed", "node")]
             a, b = bucket_links(got[0], got[1], got[2].astype(bool), got[3], _raw(t.column("fp").combine_chunks(), sent), limit, small)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), dtype=np.int64)
-            return batch(out, pairs[:, 0], pairs[:, 1])
+            return batch(out, a, b)
 
         waiting = 0
         for b in batches:

@@ -680,3 +680,60 @@ def test_near_dedup_groups_come_from_the_pigeonhole(spark, docs, empty, monkeypa
     if size is None:
         assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == set(up.values()) and len(called) == 2
         assert nearcopies.near_duplicates(docs).count() == 13 and nearcopies.near_duplicates(empty).count() == 0
+
+
+def wide_prints(seed: int, groups: int, each: int, rest: int):
+    """Fingerprints of four words: ``groups`` groups of near copies (2 % of the bits changed), and random ones."""
+    rng = np.random.default_rng(seed)
+    bits = np.repeat(rng.integers(0, 2, (groups, 256)), each, axis=0) ^ (rng.random((groups * each, 256)) < 0.02)
+    bits = np.concatenate([bits, rng.integers(0, 2, (rest, 256))])
+    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+
+
+def plain_groups(fps, limit: int) -> list[int]:
+    up = list(range(len(fps)))
+    near = [np.flatnonzero(np.bitwise_count(fps ^ x).sum(axis=1) <= limit) for x in fps]
+    while (new := [min(up[j] for j in js) for js in near]) != up:
+        up = new
+    return up
+
+
+@pytest.mark.parametrize("block, held", [(20_000, 1 << 20), (150, 100)])
+def test_links_of_near_copies_are_a_forest(spark, monkeypatch, block, held):
+    """A group of near copies is linked by no more rows than it has under each part, in blocks too, and to the groups of brute force."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "_LINKS", held, raising=False)
+    fps = wide_prints(31, 2, 220, 300)
+    limit, want = 30, plain_groups(fps, 30)
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(fps)], "node long, fp binary").repartition(3)
+    found = simhash.links(df, limit, 4, 8, 3, 256) if block > len(fps) else simhash.links(df, limit, 4, 8, 4, 256)
+    got = {r["node"]: r["component"] for r in components(found).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == want and sum(w != i for i, w in enumerate(want)) >= 438
+    nodes = np.arange(220)
+    same = np.zeros(220, dtype=np.int64)
+    a, b = simhash.bucket_links(same, same, same == 0, nodes, fps[:220], 256, 256)
+    assert len(a) == 219 and (a == 0).all() and sorted(b.tolist()) == list(range(1, 220))
+
+
+def test_only_crowded_part_values_are_counted(spark, monkeypatch):
+    """What is sent to find the crowded values doesn't grow with the values there are, and misses none."""
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    fps = wide_prints(32, 1, 400, 2400)
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(fps)], "node long, fp binary").repartition(4)
+    kind, sent, dealt = type(df), [], []
+    own, written = kind.mapInArrow, simhash.checkpointed
+    monkeypatch.setattr(kind, "mapInArrow", lambda d, f, schema, *a, **k: [out := own(d, f, schema, *a, **k), sent.append(out) if schema == "bucket long, n long" else None][0])
+    monkeypatch.setattr(simhash, "checkpointed", lambda d: [out := written(d), dealt.append(out)][0])
+    got = {r["node"]: r["component"] for r in components(simhash.links(df, 30, 4, 8, None, 256)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == plain_groups(fps, 30)
+    # 32 parts of 256 values; a part has few values with more than 25 of 2,800 fingerprints
+    assert len(sent) == 1 and sent[0].count() < 32 * 4 * 8
+    blocks = {r["bucket"]: r["blocks"] for r in dealt[0].collect()}
+    filed = simhash.file_under(df, 4, *parts_of(df), 4).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in filed) > 200 and all(blocks.get(r["bucket"], 1) * 100 >= r["count"] for r in filed)
+
+
+def parts_of(df):
+    counts = simhash.bit_statistics(df, 4)
+    parts = simhash.group_bits(counts[:-1].reshape(256, 256), counts[-1], [8] * 32)
+    return parts, simhash.allocate(parts, np.diag(counts[:-1].reshape(256, 256)) / counts[-1], counts[-1], 30)
