@@ -365,6 +365,39 @@ def test_passages_of_one_common_source(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == set(range(2, 40)) and all(r["similarity"] >= 0.8 for r in got)
 
 
+def test_only_texts_of_many_chains_are_sent_again(spark, monkeypatch):
+    """All other texts stay where they are dealt; each row of chains meets its text once."""
+    monkeypatch.setattr(passages, "FEW", 3)
+    monkeypatch.setattr(passages, "HOT", 10**9)
+    texts = spark.createDataFrame([(i % 4, i, 0, bytearray(b"x")) for i in range(20)], "shard int, doc long, tie long, packed binary")
+    rows = [(d % 4, d, 0, 2, bytearray([d, k])) for d, times in ((5, 12), (6, 1), (7, 1)) for k in range(times)]
+    chains = spark.createDataFrame(rows, "shard int, doc2 long, tie2 long, n int, heads binary")
+    (own, most), (again, rest) = passages.spread(texts, chains, 4)
+    assert own is texts and {r["doc"] for r in again.collect()} == {5} and again.count() == 7
+    assert sorted(r["heads"] for d in (most, rest) for r in d.collect()) == sorted(r[4] for r in rows) and rest.count() > 0
+    for t, c in ((own, most), (again, rest)):
+        at = {(r["shard"], r["doc"]) for r in t.collect()}
+        assert {(r["shard"], r["doc2"]) for r in c.collect()} <= at
+    (own, most), = passages.spread(texts, chains.where("doc2 > 5"), 4)
+    assert own is texts and most.count() == 2
+
+
+def test_chains_to_one_text_share_their_words(spark, monkeypatch):
+    """Equal words of chains that lead to one text are sent once, and no link is lost however they are dealt."""
+    rng, sent = np.random.default_rng(23), []
+    spread = passages.spread
+    monkeypatch.setattr(passages, "spread", lambda t, c, n: [sent.append(c), spread(t, c, n)][1])
+    p = varied(rng, 400)
+    rows = [(i, p + varied(rng, 20 + i)) for i in range(30)]
+    got = found_spans(spark, rows)
+    assert {r["doc_id"] for r in got if r["n_words"] >= 400} == set(range(1, 30))
+    chains = sent[0].collect()
+    words = sum(int(suffix.unpack(r["heads"], passages._HEADS)[3].sum()) for r in chains)
+    assert len(chains) < sum(r["n"] for r in chains) and sum(len(r["words"]) for r in chains) < 0.75 * 4 * words
+    monkeypatch.setattr(passages, "TOGETHER", 2)
+    assert sorted(found_spans(spark, rows)) == sorted(got)
+
+
 def test_seeds_of_long_texts(monkeypatch):
     rng = np.random.default_rng(13)
     words = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 3, 8, 500, 77)] + [np.zeros(60, dtype=np.uint64)]
