@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -398,6 +399,20 @@ def test_chains_to_one_text_share_their_words(spark, monkeypatch):
     assert sorted(found_spans(spark, rows)) == sorted(got)
 
 
+def test_finished_shuffles_are_given_up(spark):
+    """The files of a step's shuffle don't stay until the run ends, while its result is in use."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.rsplit("/", 1)[-1] for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = files()
+    out = passages.finished(spark.range(1000).selectExpr("id", "id % 3 as k").repartition(3, "k"))
+    mine = files() - before
+    # the first step's files go by the sweep after the next one
+    for _ in range(5):
+        again = passages.finished(out.where("k = 1"))
+        time.sleep(0.5)
+    assert not files() & mine and out.count() == 1000 and again.count() == 333
+
+
 def test_seeds_of_long_texts(monkeypatch):
     rng = np.random.default_rng(13)
     words = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 3, 8, 500, 77)] + [np.zeros(60, dtype=np.uint64)]
