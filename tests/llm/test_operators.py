@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -700,6 +701,28 @@ def test_alike_equals_plain_comparison(spark, monkeypatch, block, small):
     assert {r["doc_id"] for r in got} == {42, 58} and all(r["source_id"] in (15, 42) and r["n_words"] >= 55 for r in got)
 
 
+def test_passages_in_bounded_tasks(spark, monkeypatch):
+    """What a task holds follows its limits, and the result doesn't."""
+    rng = np.random.default_rng(23)
+    line, tail = varied(rng, 20), varied(rng, 40)
+    rows = [(i, varied(rng, 25 + i % 7) + line + varied(rng, 40)) for i in range(40)]
+    for i in (15, 32, 38):
+        rows[i] = (i, varied(rng, 30) + line + [w if k % 9 else f"c{i}-{k}" for k, w in enumerate(tail)] + varied(rng, 20))
+    monkeypatch.setattr(passages, "BLOCK", 7)
+    want = found_spans(spark, rows)
+    opposed, sizes = passages.opposed, []
+    monkeypatch.setattr(passages, "SHARD", 1 << 12)
+    monkeypatch.setattr(passages, "ROWS", 50)
+    dealt = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([suffix.pack(*(np.arange(100).astype(k) if k != "<i4" else np.full(100, 30, dtype=k) for k in passages._AROUND))])], names=["shard", "block"])
+    monkeypatch.setattr(passages, "_SENT", 600)
+    for b in opposed(iter([dealt]), 9):
+        sizes.append(sum(len(suffix.unpack(x, passages._AROUND)[0]) for x in b.column("block").to_pylist()))
+    assert sum(sizes) == 3000 and max(sizes) <= 600
+    assert passages.shards_of(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), most=passages.SHARD) > 4
+    got = found_spans(spark, rows)
+    assert len(want) > 0 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("size", [None, 10**8])
 def test_near_dedup_groups_come_from_the_pigeonhole(spark, docs, empty, monkeypatch, size):
     """Groups equal brute force on whole sets, also with parts as wide as for many rows; the pipeline's come this way."""
