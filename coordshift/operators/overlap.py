@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 1 << 14
+#: Widths of bins, as powers of two: an interval is met in bins of the first one it isn't longer than, or of the last.
+LEVELS = (6, 9, 12, 15)
+
+
+def _level(start: Column, end: Column) -> Column:
+    return reduce(lambda out, k: F.when(end - start <= 1 << k, k).otherwise(out), LEVELS[-2::-1], F.lit(LEVELS[-1]))
+
 
+def binned(rows: DataFrame, start: str, end: str, other: DataFrame) -> DataFrame:
+    """Each interval once for every bin it touches, of its own level (__own) and of the wider ones (__level) that ``other``, one row with __levels, has."""
+    own = rows.where(F.col(end) > F.col(start)).withColumn("__own", _level(F.col(start), F.col(end))).join(F.broadcast(other))
+    wider = F.filter("__levels", lambda k: k > F.col("__own"))
+    cut = own.withColumn("__level", F.explode(F.concat(F.array("__own"), wider))).drop("__levels")
+    return cut.withColumn("__bin", F.explode(F.expr(f"sequence(shiftright(cast(`{start}` as bigint), __level), shiftright(cast(`{end}` - 1 as bigint), __level))")))
 
-def binned(rows: DataFrame, start: str, end: str, width: int = BIN) -> DataFrame:
-    """Each interval once for every bin it touches."""
-    return rows.where(F.col(end) > F.col(start)).withColumn("__bin", F.explode(F.expr(f"sequence(cast(`{start}` as bigint) div {width}, cast(`{end}` - 1 as bigint) div {width})")))
 
+def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Overlapping pairs of ``a`` (contig, start, end and others) and ``b`` (contig, start, end), met once, with o_start and o_end.
 
-def pairs(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
-    """Overlapping pairs of ``a`` (contig, start, end and others) and ``b`` (contig, start, end), met once, with o_start and o_end."""
-    right = binned(b.select("contig", F.col("start").alias("__s"), F.col("end").alias("__e")), "__s", "__e", width)
-    met = binned(a, "start", "end", width).join(right, ["contig", "__bin"]).where("start < __e and __s < end")
+    Two intervals meet in bins of the wider one's level, so a bin holds few that don't overlap.
+    """
+    b = b.select("contig", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    levels = [r.where(F.col(z) > F.col(s)).agg(F.collect_set(_level(F.col(s), F.col(z))).alias("__levels")) for r, s, z in ((b, "__s", "__e"), (a, "start", "end"))]
+    right = binned(b, "__s", "__e", levels[1]).withColumnRenamed("__own", "__other")
+    met = binned(a, "start", "end", levels[0]).join(right, ["contig", "__level", "__bin"]).where("start < __e and __s < end and greatest(__own, __other) = __level")
     met = met.withColumn("o_start", F.greatest("start", "__s")).withColumn("o_end", F.least("end", "__e"))
     # in the bin where the common part begins
-    return met.where(f"o_start div {width} = __bin").drop("__bin")
+    return met.where("shiftright(cast(o_start as bigint), __level) = __bin").drop("__bin", "__level", "__own", "__other")
+
+
+def widest(rows: DataFrame, width: int = 1 << 15) -> DataFrame:
+    """contig, start, end of the intervals that lie in no other one, each once."""
+    own = rows.where("end > start").groupBy("contig", F.col("start").cast("long").alias("start")).agg(F.max("end").cast("long").alias("end"))
+    own = own.withColumn("__bin", F.floor(F.col("start") / width))
+    over = Window.partitionBy("contig").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.groupBy("contig", "__bin").agg(F.max("end").alias("__reach")).withColumn("__before", F.max("__reach").over(over)).drop("__reach")
+    inside = Window.partitionBy("contig", "__bin").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    known = own.join(carried, ["contig", "__bin"]).withColumn("__reach", F.greatest("__before", F.max("end").over(inside)))
+    return known.where("__reach is null or end > __reach").select("contig", "start", "end")
 
 
 def flag_overlaps(a: DataFrame, b: DataFrame, threshold: float = 0.0, name: str = "hit") -> DataFrame:
@@ -27,7 +53,9 @@ def flag_overlaps(a: DataFrame, b: DataFrame, threshold: float = 0.0, name: str
 
     0 or less: any overlap; up to 1: share of a's length; above: bases. Empty intervals never do.
     """
-    best = pairs(a.select("id", "contig", "start", "end"), b).groupBy("id").agg(F.max(F.col("o_end") - F.col("o_start")).alias("__best"))
+    # no interval overlaps more than one that it lies in, and equal rows are met once
+    places = pairs(a.select("contig", "start", "end").distinct(), widest(b)).groupBy("contig", "start", "end").agg(F.max(F.col("o_end") - F.col("o_start")).alias("__best"))
+    best = a.select("id", "contig", "start", "end").join(places, ["contig", "start", "end"]).groupBy("id").agg(F.max("__best").alias("__best"))
     size = F.col("end") - F.col("start")
     enough: Column = F.lit(True) if threshold <= 0 else F.col("__best") >= (size * F.lit(threshold).cast("float") if threshold <= 1 else F.lit(threshold))
     return a.join(best, "id", "left").withColumn(name, F.coalesce(enough & F.col("__best").isNotNull(), F.lit(False))).drop("__best")

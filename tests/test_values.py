@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -236,3 +237,24 @@ def test_small_chain(spark):
     points = spark.createDataFrame([("a", 0), ("a", 5), ("a", 19), ("a", 22), ("a", 28), ("z", 3)], "contig string, pos long")
     got = {(r["contig"], r["pos"]): (r["sidx"], r["eidx"], r["lifted"]) for r in lift.lift_points(points, ix).collect()}
     assert got == {("a", 0): (-1, 0, -1), ("a", 5): (0, 0, 5), ("a", 19): (0, 0, 19), ("a", 22): (1, 0, 22), ("a", 28): (-1, -1, -1), ("z", 3): (-1, -1, -1)}
+
+
+def test_overlaps_of_all_lengths_meet_in_small_bins(spark):
+    """Pairs and flags equal brute force, each pair once, and bins hold few that don't overlap."""
+    rng = np.random.default_rng(3)
+    size = lambda: int(rng.choice([0, 1, 7, 60, 64, 65, 500, 3000, 40000, 100000]))
+    a, b = ([(i, f"c{i % 2}", s, s + size()) for i, s in enumerate(rng.integers(0, 200000, 300).tolist())] for _ in range(2))
+    names = "id long, contig string, start long, end long"
+    x, y = spark.createDataFrame(a, names), spark.createDataFrame(b, names)
+    met = [(i, max(s, t), min(e, f)) for i, c, s, e in a for _, d, t, f in b if c == d and s < f and t < e and s < e and t < f]
+    assert sorted((r["id"], r["o_start"], r["o_end"]) for r in overlap.pairs(x, y).collect()) == sorted(met)
+    best = {i: max((f - t for j, t, f in met if i == j), default=0) for i, *_ in a}
+    for threshold, enough in ((0, lambda n, s: n > 0), (0.5, lambda n, s: n > 0 and n >= s * 0.5), (50, lambda n, s: n >= 50)):
+        assert {r["id"]: r["hit"] for r in overlap.flag_overlaps(x, y, threshold).collect()} == {i: enough(best[i], e - s) for i, _, s, e in a}
+    kept = {(c, s, e) for _, c, s, e in b if s < e and not any(d == c and t <= s and e <= f and (t, f) != (s, e) for _, d, t, f in b)}
+    assert sorted(tuple(r) for r in overlap.widest(y, 1 << 12).collect()) == sorted(kept)
+    # 2,000 short ones on 16,384 bases: 4,000,000 pairs in one wide bin
+    dense = spark.range(2000).selectExpr("'c' as contig", "id * 7919 % 16384 as start", "id * 7919 % 16384 + 20 as end")
+    level = dense.selectExpr("array(6) as __levels").limit(1)
+    bins = overlap.binned(dense, "start", "end", level).groupBy("__level", "__bin").count().collect()
+    assert overlap.pairs(dense, dense).count() < sum(r["count"] ** 2 for r in bins) < 60_000
