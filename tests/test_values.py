@@ -258,3 +258,32 @@ def test_overlaps_of_all_lengths_meet_in_small_bins(spark):
     level = dense.selectExpr("array(6) as __levels").limit(1)
     bins = overlap.binned(dense, "start", "end", level).groupBy("__level", "__bin").count().collect()
     assert overlap.pairs(dense, dense).count() < sum(r["count"] ** 2 for r in bins) < 60_000
+
+
+def test_lookup_where_intervals_overlap(spark, monkeypatch):
+    """The last start and the last end before a place, also where a long interval ends after later ones, whatever the buckets."""
+    monkeypatch.setattr(index, "BASES", 16)
+    rng = np.random.default_rng(4)
+    starts = rng.choice(400, 60, replace=False).tolist()
+    rows = [(f"c{i % 2}", 900, f"d{i % 3}", i % 4 > 0, s, s + int(rng.choice([1, 5, 90])), i) for i, s in enumerate(starts)]
+    ix = index.build_index(spark.createDataFrame(rows, "contig string, s_len long, target string, strand boolean, source_start long, source_end long, off long"))
+    plain = {c: sorted(r for r in rows if r[0] == c) for c in ("c0", "c1")}
+    plain = {c: sorted(v, key=lambda r: r[4]) for c, v in plain.items()}
+    for r in ix.collect():
+        own = plain[r["contig"]]
+        assert own[r["idx"]][4] == r["source_start"] and r["next_source_start"] == (own[r["idx"] + 1][4] if r["idx"] + 1 < len(own) else None)
+        assert r["target_run"] == sum(i == 0 or own[i][2] != own[i - 1][2] for i in range(r["idx"] + 1))
+    places = spark.createDataFrame([(c, p) for c in ("c0", "c1") for p in range(520)], "contig string, pos long")
+    want = []
+    for c in ("c0", "c1"):
+        ends = [(r[5], i) for i, r in enumerate(plain[c])]
+        for p in range(520):
+            want.append((c, p, max((i for i, r in enumerate(plain[c]) if max(r[4], 1) <= p), default=-1), max((x for x in ends if x[0] < p), default=(0, 0))[1]))
+    for found in (asof.slots(places, ix), asof.sorted_slots(places, ix, width=16), asof.slots(places, asof.placed(places, asof.Written(asof.with_steps(ix)), (F.col("contig"), F.col("pos"))))):
+        assert sorted((r["contig"], r["pos"], r["sidx"], r["eidx"]) for r in found.select("contig", "pos", "sidx", "eidx").collect()) == want
+
+
+def test_running_sums_over_buckets(spark):
+    rows = spark.createDataFrame([(i % 3, i * 7 % 50, i) for i in range(50)], "k long, at long, v long")
+    got = {(r["k"], r["at"]): r["s"] for r in index.sums_before(rows, ["k"], "at", 4, s=F.col("v")).collect()}
+    assert got == {(k, a): sum(v for j, b, v in rows.collect() if j == k and b < a) for k, a, _ in rows.collect()}
