@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql.types import StringType
 
 from coordshift.functions.cigar import expand_runs, render, runs
 from coordshift.functions.realign import joined_runs
+from coordshift.operators.asof import shared_folder
+from coordshift.operators.index import BASES, sums_before
 
 #: Pieces that are sent to every executor at most.
 SEARCHED = 4_000_000
@@ -55,15 +59,14 @@ def accepted(variants: DataFrame) -> DataFrame:
 
 def pieces(kept: DataFrame) -> DataFrame:
     """contig, start (in the personalised sequence), source (in the reference), moves: stretches where places rise together, or stay (insertions)."""
-    events = kept.where("kind = 'indel'")
-    order = Window.partitionBy("chrom").orderBy("pos")
-    before = F.coalesce(F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    events = sums_before(kept.where("kind = 'indel'"), ["chrom"], "pos", BASES, before=F.col("change"))
     at = F.col("pos") + 1
-    here = events.select(F.col("chrom").alias("contig"), "change", at.alias("at"), (at + before).alias("start"))
-    gains = here.where("change > 0").select("contig", "start", F.col("at").alias("source"), F.lit(False).alias("moves"))
-    after = here.select("contig", (F.col("start") + F.greatest("change", F.lit(0))).alias("start"), (F.col("at") - F.least("change", F.lit(0))).alias("source"), F.lit(True).alias("moves"))
+    here = events.select(F.col("chrom").alias("contig"), "change", at.alias("at"), (at + F.col("before")).alias("start"))
+    gain = F.struct(F.col("start"), F.col("at").alias("source"), F.lit(False).alias("moves"))
+    after = F.struct((F.col("start") + F.greatest("change", F.lit(0))).alias("start"), (F.col("at") - F.least("change", F.lit(0))).alias("source"), F.lit(True).alias("moves"))
+    cut = here.select("contig", F.explode(F.when(F.col("change") > 0, F.array(gain, after)).otherwise(F.array(after))).alias("x")).select("contig", "x.*")
     zero = kept.select(F.col("chrom").alias("contig")).distinct().select("contig", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("source"), F.lit(True).alias("moves"))
-    return zero.union(gains).union(after)
+    return zero.union(cut)
 
 
 class Lookup:
@@ -107,6 +110,35 @@ class Lookup:
         return run(contig, pos, cigar)
 
 
+def lift_places(rows: DataFrame, found: DataFrame, contig: str = "contig", pos: str = "pos", most: int = SEARCHED, width: int = 1 << 14) -> DataFrame:
+    """``rows`` with lifted, as ``Lookup.place`` gives it, for any number of pieces (``found``).
+
+    More than ``most`` meet the distinct places in buckets of ``width`` bases, each opened by the last piece before it.
+    """
+    # variants are folded once: the pieces are read several times
+    path = f"{shared_folder(rows.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    found = rows.sparkSession.read.schema(found.schema).parquet(path)
+    if found.count() <= most:
+        return rows.withColumn("lifted", Lookup(found, most).place(F.col(contig), F.col(pos)))
+    names = ("start", "source", "moves")
+    bucket = F.floor(F.col("at") / width).cast("long").alias("bucket")
+    own = found.select("contig", F.col("start").alias("at"), *names).select("contig", bucket, "at", F.lit(0).alias("kind"), F.struct(*names).alias("x"))
+    none = F.lit(None).cast(own.schema["x"].dataType)
+    places = rows.select(F.col(contig).alias("contig"), F.col(pos).cast("long").alias("at")).where("at >= 0").distinct().select("contig", bucket, "at", F.lit(1).alias("kind"), none.alias("x"))
+    asked = places.select("contig", "bucket").distinct()
+    tops = own.groupBy("contig", "bucket").agg(F.max("x").alias("x"), F.lit(False).alias("asked")).union(asked.select("contig", "bucket", none.alias("x"), F.lit(True)))
+    before = Window.partitionBy("contig").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    opening = tops.withColumn("x", F.max("x").over(before)).where("asked").select("contig", "bucket", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("kind"), "x")
+    w = Window.partitionBy("contig", "bucket").orderBy("at", "kind", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = own.join(asked, ["contig", "bucket"], "left_semi").union(opening).union(places)
+    met = met.withColumn("x", F.last("x", ignorenulls=True).over(w)).where("kind = 1").select(F.col("contig").alias("__contig"), F.col("at").alias("__at"), "x")
+    x, at = F.col("x"), F.col(pos).cast("long")
+    joined = rows.join(met, (F.col(contig) == F.col("__contig")) & (at == F.col("__at")), "left")
+    lifted = F.when(x.isNull(), at).otherwise(x["source"] + F.when(x["moves"], at - x["start"]).otherwise(0))
+    return joined.select(*(rows[c] for c in rows.columns), lifted.alias("lifted"))
+
+
 def columns(pos: int, size: int, start: np.ndarray, source: np.ndarray, moves: np.ndarray) -> str:
     """How the two sequences stand from a base of the personalised one on, for ``size`` of its bases: "=" both, "+" only it, "-" only the reference."""
     k = int(np.searchsorted(start, pos, side="right")) - 1

@@ -550,8 +550,7 @@ def _variants(spark, sf):
  q AS (SELECT chrom, CAST(start AS BIGINT) AS start, CAST(source AS BIGINT) AS source, moves FROM p), t AS ({_PLACES})
  SELECT point_id, contig, pos, CAST(CASE WHEN q.chrom IS NULL THEN pos ELSE source + moves * (pos - start) END AS BIGINT) AS lifted FROM t ASOF LEFT JOIN q ON t.contig = q.chrom AND t.pos >= q.start""")
 def vcf_position_lift(spark, sf):
-    find = vcf.Lookup(vcf.pieces(vcf.accepted(_variants(spark, sf))))
-    return frame(spark, sf, _PLACES).withColumn("lifted", find.place(F.col("contig"), F.col("pos")))
+    return vcf.lift_places(frame(spark, sf, _PLACES), vcf.pieces(vcf.accepted(_variants(spark, sf))))
 
 
 @query(_MERGE.format(f'SELECT chrom AS contig, CASE WHEN length(ref) > length(alt) THEN pos + 1 ELSE pos END AS start, pos + greatest(length(ref), length(alt)) AS "end" FROM ({_VARIANTS})'))

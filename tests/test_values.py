@@ -287,3 +287,11 @@ def test_running_sums_over_buckets(spark):
     rows = spark.createDataFrame([(i % 3, i * 7 % 50, i) for i in range(50)], "k long, at long, v long")
     got = {(r["k"], r["at"]): r["s"] for r in index.sums_before(rows, ["k"], "at", 4, s=F.col("v")).collect()}
     assert got == {(k, a): sum(v for j, b, v in rows.collect() if j == k and b < a) for k, a, _ in rows.collect()}
+
+
+def test_places_among_more_pieces_than_are_sent(spark):
+    """Lifting by variants gives the same whether the pieces are sent out or met in buckets."""
+    kept = spark.createDataFrame([("c", 5, "indel", 3), ("c", 20, "indel", -4), ("c", 90, "indel", 40), ("d", 50, "snp", 0), ("d", 200, "indel", -9)], "chrom string, pos long, kind string, change long")
+    places = spark.createDataFrame([(c, p) for c in "cdx" for p in [None, -3, *range(260)]], "contig string, pos long")
+    few, many = (sorted(map(str, vcf.lift_places(places, vcf.pieces(kept), most=most, width=16).collect())) for most in (100, 3))
+    assert few == many and len(few) == 786
