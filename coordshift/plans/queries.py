@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -512,9 +513,13 @@ _ALIKE = f"""WITH p AS ({_PAIRED}), k AS (SELECT doc_id, a, b, length(b) AS n, u
 
 
 def _identity_rows(spark, sf):
-    pairs_ = frame(spark, sf, _PAIRED)
+    # letters are made from the texts once: blocks and both sides read them
+    path = f"{asof.shared_folder(spark)}/letters-{uuid.uuid4().hex}"
+    frame(spark, sf, _PAIRED).write.parquet(path)
+    pairs_ = spark.read.parquet(path)
     a, b = (pairs_.select(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias("contig"), F.col(c).alias("seq")) for c in "ab")
-    return summary.chain_identity(frame(spark, sf, _TRIPLE), a, b)
+    blocks = spark.sql(_TRIPLE.replace(f"({_PAIRED})", "{made}"), made=pairs_)
+    return summary.chain_identity(blocks, a, b)
 
 
 @query(duck(f"{_ALIKE} SELECT * FROM i"))

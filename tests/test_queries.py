@@ -24,3 +24,9 @@ def test_alignment_status_has_a_row_for_each(spark):
     got = QUERIES["lift_alignment_status"](spark, SF)
     assert got.count() == 1500
     assert {r["lo"] for r in got.select("lo").distinct().collect()} <= {"L_L", "L_UM", "UM_L", "UM_UM"}
+
+
+def test_identity_reads_the_texts_once(spark):
+    """Blocks and letters come from what was made of the texts, not from the texts again."""
+    plan = QUERIES["chain_identity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "letters-" in plan and "documents.parquet" not in plan
