@@ -512,11 +512,15 @@ _ALIKE = f"""WITH p AS ({_PAIRED}), k AS (SELECT doc_id, a, b, length(b) AS n, u
  i AS (SELECT doc_id AS chain_id, CAST(line_no AS BIGINT) AS line_no, CAST(15 AS BIGINT) AS size, CAST(list_sum(list_transform(range(1, 16), lambda j: CASE WHEN substring(x, j, 1) = substring(y, j, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / 15 AS hdist, concat('a', CAST(doc_id AS STRING)) AS source, CAST(ss AS BIGINT) AS s_start, CAST(ss + 15 AS BIGINT) AS s_end, '+' AS strand, doc_id % 2 = 0 AS forward, concat('b', CAST(doc_id AS STRING)) AS dest, CAST(ds AS BIGINT) AS d_start, CAST(ds + 15 AS BIGINT) AS d_end FROM d)"""
 
 
-def _identity_rows(spark, sf):
-    # letters are made from the texts once: blocks and both sides read them
+def _letters(spark, sf, sql: str) -> DataFrame:
+    """The rows of ``sql``, made from the texts once, as several steps read them."""
     path = f"{asof.shared_folder(spark)}/letters-{uuid.uuid4().hex}"
-    frame(spark, sf, _PAIRED).write.parquet(path)
-    pairs_ = spark.read.parquet(path)
+    frame(spark, sf, sql).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _identity_rows(spark, sf):
+    pairs_ = _letters(spark, sf, _PAIRED)
     a, b = (pairs_.select(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias("contig"), F.col(c).alias("seq")) for c in "ab")
     blocks = spark.sql(_TRIPLE.replace(f"({_PAIRED})", "{made}"), made=pairs_)
     return summary.chain_identity(blocks, a, b)
@@ -582,7 +586,7 @@ def md_nm(spark, sf):
 @query()
 def realign(spark, sf):
     """Reads with a gap of three bases in them, first aligned without one."""
-    rows = frame(spark, sf, _READ).where("length(seq) >= 60")
+    rows = _letters(spark, sf, _READ).where("length(seq) >= 60")
     fasta = rows.select(F.col("id").cast("string").alias("contig"), F.col("ref").alias("seq"))
     gapped = F.concat(F.substring("ref", 11, 30), F.substring("ref", 44, 30))
     reads = rows.select("id", F.lit(0).alias("flag"), F.col("id").cast("string").alias("rname"), F.lit(10).cast("long").alias("pos"), F.lit(63).cast("long").alias("rlen"), gapped.alias("seq"), F.lit("63M").alias("cigar"))

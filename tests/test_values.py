@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -295,3 +297,13 @@ def test_places_among_more_pieces_than_are_sent(spark):
     places = spark.createDataFrame([(c, p) for c in "cdx" for p in [None, -3, *range(260)]], "contig string, pos long")
     few, many = (sorted(map(str, vcf.lift_places(places, vcf.pieces(kept), most=most, width=16).collect())) for most in (100, 3))
     assert few == many and len(few) == 786
+
+
+@pytest.mark.parametrize("zdrop", [400, 3])
+def test_alignments_side_by_side_equal_single_ones(zdrop):
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("ACGTN"), n))
+    pairs = [(t, t[: len(t) // 3] + t[len(t) // 3 + 3 :] + letters(int(rng.integers(0, 4)))) for t in (letters(int(n)) for n in rng.choice([0, 1, 20, 21], 60))]
+    for name in ("bowtie2", "ont"):
+        settings = replace(R.PRESETS[name], zdrop=zdrop)
+        assert R.align_many(*map(list, zip(*pairs, strict=True)), settings) == [R.align(t, x, settings) for t, x in pairs]
